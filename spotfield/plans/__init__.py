@@ -1 +1 @@
-"""Spatial signaling analytics on Spark DataFrames."""
+"""End-to-end analyses composed from the operators."""

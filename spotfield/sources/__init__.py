@@ -1 +1 @@
-"""Spatial signaling analytics on Spark DataFrames."""
+"""Input tables."""
