@@ -398,8 +398,8 @@ step("losses", [], """
 SELECT l_suppkey AS pair_id, CAST(l_linenumber % 2 AS INTEGER) AS fold, sum(l_extendedprice) AS loss_without,
   sum(l_extendedprice * (1e0 - l_discount)) AS loss_with, count(*) AS n FROM lineitem GROUP BY ALL""")
 step("refits", [], """
-SELECT l_partkey AS pair_id, 16e0 * pow(2e0, (CAST(l_quantity AS BIGINT) % 11) / 8e0) AS range_um,
-  16e0 * pow(2e0, (l_partkey % 9) / 8e0) AS reference_um FROM lineitem""")
+SELECT l_partkey AS pair_id, 16e0 * pow(2e0, (CAST(l_quantity AS BIGINT) % 11) * 0.13e0) AS range_um,
+  16e0 * pow(2e0, (l_partkey % 9) * 0.11e0) AS reference_um FROM lineitem""")
 step("fits", [], """
 SELECT o_orderkey AS pair_id, CAST(floor(o_totalprice) AS BIGINT) % 41 AS best_index,
   16e0 * pow(2e0, (CAST(floor(o_totalprice) AS BIGINT) % 41) / 8e0) AS ell_hat, o_totalprice / 50000e0 AS support,

@@ -115,12 +115,12 @@ def _losses(s: Study):
 
 
 def _refits(s: Study):
-    def step(k):
-        return F.lit(16.0) * F.pow(F.lit(2.0), k / F.lit(8.0))
+    def step(k, bits):
+        return F.lit(16.0) * F.pow(F.lit(2.0), k * F.lit(bits))
 
     return s.table("lineitem").select(
-        F.col("l_partkey").alias("pair_id"), step(F.col("l_quantity").cast("long") % 11).alias("range_um"),
-        step(F.col("l_partkey") % 9).alias("reference_um"))
+        F.col("l_partkey").alias("pair_id"), step(F.col("l_quantity").cast("long") % 11, 0.13).alias("range_um"),
+        step(F.col("l_partkey") % 9, 0.11).alias("reference_um"))
 
 
 @registered
