@@ -55,7 +55,10 @@ def connected_components(links: DataFrame, small_graph: int = SMALL_GRAPH) -> Da
     """
     links = materialise(links, "links")
     spec_type = dict(links.dtypes)["specimen"]
-    if links.count() <= small_graph:
+    size = links.count()
+    if size == 0:  # a single tile: nothing to merge
+        return links.select("specimen", F.col("a").alias("label"), F.col("b").alias("root"))
+    if size <= small_graph:
         return links.groupBy("specimen").applyInPandas(_union_links, f"specimen {spec_type}, label long, root long")
 
     both = materialise(links.unionByName(links.select("specimen", F.col("b").alias("a"), F.col("a").alias("b"))), "links")

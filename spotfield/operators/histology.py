@@ -12,7 +12,7 @@ from .. import settings as S
 from ..functions.scalar import length3, optical_density, stain_amount, unmixing_weights
 from ..kernels.image import blur, disk_offsets, local_components, open_then_close
 from ..runtime import finite, materialise, require_columns
-from .components import ROW_STEP, border_links, connected_components
+from .components import ROW_STEP, SMALL_GRAPH, border_links, connected_components
 from .tiles import TILE, blur_reach, disk_reach, over_tiles, raster_extent
 
 
@@ -95,13 +95,13 @@ def opened_and_closed(pixels: DataFrame, extent: DataFrame, column: str, keep: l
                       {"mask": "boolean", "label": "long", **{k: types[k] for k in keep}}, kernel, tile)
 
 
-def drop_small_components(labelled: DataFrame, extent: DataFrame, tile: int = TILE) -> DataFrame:
+def drop_small_components(labelled: DataFrame, extent: DataFrame, tile: int = TILE, small_graph: int = SMALL_GRAPH) -> DataFrame:
     """Keep four-connected components of at least 500 square micrometres.
 
     Adds ``component`` (first cell of the component, null outside tissue).
     """
     inside = labelled.where("mask").select("specimen", "row", "col", "label")
-    roots = connected_components(border_links(inside, False, tile))
+    roots = connected_components(border_links(inside, False, tile), small_graph)
     sizes = inside.groupBy("specimen", "label").agg(F.count("*").alias("n"))
     needed = F.ceil(F.lit(S.SMALLEST_TISSUE_UM2) / (F.col("pixel_size_um") * F.col("pixel_size_um")))
     by_root = materialise(
