@@ -83,10 +83,9 @@ def genes_detected(s: Study):
     counts = (
         lines.join(parts, "l_partkey").join(orders, "l_orderkey").groupBy("obs_id", "gene_id").agg(F.sum("l_quantity").alias("raw"))
         .withColumn("specimen", F.floor(F.col("obs_id") / OBS_PER_SPECIMEN).cast("long")))
-    known = parts.select("gene_id").distinct().agg(F.collect_list("gene_id").alias("g"))
     observed = s.observations.select("specimen", "obs_id")
-    genes = materialise(observed.select("specimen").distinct(), "keys").join(F.broadcast(known), F.lit(True)).select(
-        "specimen", F.explode("g").alias("gene_id"))
+    counts = materialise(counts, "type-counts")
+    genes = counts.select("specimen", "gene_id").distinct()
     return molecular.detected_genes(counts, observed, genes)
 
 

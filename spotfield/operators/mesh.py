@@ -143,37 +143,37 @@ def keep_largest(mesh: Mesh) -> Mesh:
     return Mesh(materialise(cells.select("specimen", "i", "j", "component"), "mesh"), mesh.frame)
 
 
-def _corner(di, dj):
-    i, j = F.col("i") + di, F.col("j") + dj
-    return F.struct(
-        (j * F.col("nx") + i).alias("node"),
-        (F.col("x0") + i * F.col("h")).alias("x"), (F.col("y0") + j * F.col("h")).alias("y"))
-
-
 def triangles(mesh: Mesh) -> DataFrame:
     """(specimen, tri, component, i, j, a, b, c, cx, cy, area), counter-clockwise.
 
     Diagonals alternate between neighbouring cells.  ``tri`` orders the first
     triangles of all cells before the second ones; a, b, c are (node, x, y).
     """
-    p00, p10, p01, p11 = _corner(0, 0), _corner(1, 0), _corner(0, 1), _corner(1, 1)
+    t = mesh.cells.join(mesh.frame, "specimen").select(
+        "specimen", "component", "i", "j", "nx", "ny", "x0", "y0", "h", F.explode(F.array(F.lit(0), F.lit(1))).alias("half"))
     even = (F.col("i") + F.col("j")) % 2 == 0
+    second = F.col("half") == 1
+
+    def one_if(condition):
+        return F.when(condition, F.lit(1)).otherwise(F.lit(0))
+
+    # Corners of each half by lattice offsets; both halves run counter-clockwise.
+    t = t.withColumns({
+        "ai": F.col("i") + one_if(second & ~even), "aj": F.col("j"),
+        "bi": F.col("i") + 1, "bj": F.col("j") + F.col("half"),
+        "ci": F.col("i") + one_if(~second & even), "cj": F.col("j") + 1})
+    for p in "abc":
+        t = t.withColumns({f"{p}x": F.col("x0") + F.col(f"{p}i") * F.col("h"), f"{p}y": F.col("y0") + F.col(f"{p}j") * F.col("h")})
 
-    def three(a, b, c):
-        return F.struct(a.alias("a"), b.alias("b"), c.alias("c"))
+    def corner(p):
+        return F.struct((F.col(f"{p}j") * F.col("nx") + F.col(f"{p}i")).alias("node"), F.col(f"{p}x").alias("x"), F.col(f"{p}y").alias("y")).alias(p)
 
-    first = F.when(even, three(p00, p10, p11)).otherwise(three(p00, p10, p01))
-    second = F.when(even, three(p00, p11, p01)).otherwise(three(p10, p11, p01))
-    t = (
-        mesh.cells.join(mesh.frame, "specimen")
-        .select("specimen", "component", "i", "j", "nx", "ny", F.posexplode(F.array(first, second)).alias("half", "t")))
-    a, b, c = F.col("t.a"), F.col("t.b"), F.col("t.c")
-    twice = (b["x"] - a["x"]) * (c["y"] - a["y"]) - (c["x"] - a["x"]) * (b["y"] - a["y"])
+    twice = (F.col("bx") - F.col("ax")) * (F.col("cy") - F.col("ay")) - (F.col("cx") - F.col("ax")) * (F.col("by") - F.col("ay"))
     return t.select(
         "specimen", (F.col("half") * F.col("nx") * F.col("ny") + F.col("j") * F.col("nx") + F.col("i")).alias("tri"),
-        "component", "i", "j", a.alias("a"), b.alias("b"), c.alias("c"),
-        ((a["x"] + b["x"] + c["x"]) / F.lit(3.0)).alias("cx"), ((a["y"] + b["y"] + c["y"]) / F.lit(3.0)).alias("cy"),
-        (F.lit(0.5) * F.abs(twice)).alias("area"))
+        "component", "i", "j", corner("a"), corner("b"), corner("c"),
+        ((F.col("ax") + F.col("bx") + F.col("cx")) / F.lit(3.0)).alias("cx"),
+        ((F.col("ay") + F.col("by") + F.col("cy")) / F.lit(3.0)).alias("cy"), (F.lit(0.5) * F.abs(twice)).alias("area"))
 
 
 def nodes(mesh: Mesh) -> DataFrame:
