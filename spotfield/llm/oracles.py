@@ -23,13 +23,18 @@ WHERE {good}"""
 
 
 _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
-_LUHN = f"""list_sum(list_transform(range(1, length({_DIGITS}) + 1), i -> CASE WHEN i % 2 = 1 THEN CAST(reverse({_DIGITS})[i] AS INT)
+_LUHN = f"""list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse({_DIGITS})[i] AS INT)
   WHEN CAST(reverse({_DIGITS})[i] AS INT) > 4 THEN 2 * CAST(reverse({_DIGITS})[i] AS INT) - 9 ELSE 2 * CAST(reverse({_DIGITS})[i] AS INT) END)) % 10 = 0"""
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+_NEAR = "lower(right(gap, 40) || ' ' || left(next_gap, 40))"
 _ACCOUNT = "replace(m, ' ', '')"
-# letters as two digits, then nine digits at a time would do; DuckDB folds the list of characters instead
-_MOD97 = f"""list_reduce(list_prepend(0, list_transform(string_split({_ACCOUNT}[5:] || {_ACCOUNT}[:4], ''), c -> CASE WHEN ascii(c) >= 65
-  THEN 1000 + ascii(c) - 55 ELSE ascii(c) - 48 END)), (a, c) -> CASE WHEN c >= 1000 THEN (a * 100 + c - 1000) % 97 ELSE (a * 10 + c) % 97 END) = 1"""
+# letters of an account number are numbers of two digits, marked by 1000
+_MOD97 = f"""list_reduce(list_prepend(0, list_transform(string_split({_ACCOUNT}[5:] || {_ACCOUNT}[:4], ''), lambda c: CASE WHEN ascii(c) >= 65
+  THEN 1000 + ascii(c) - 55 ELSE ascii(c) - 48 END)), lambda a, c: CASE WHEN c >= 1000 THEN (a * 100 + c - 1000) % 97 ELSE (a * 10 + c) % 97 END) = 1"""
+
+_IBAN = f"""{_MOD97} AND NOT regexp_matches(right(gap, 1), '[A-Za-z0-9]') AND NOT regexp_matches(left(next_gap, 1), '[A-Za-z0-9]')
+  AND (regexp_matches({_NEAR}, '\\b(iban|account|bank|bic|swift|transfer|konto|compte|cuenta)\\b')
+    OR NOT regexp_matches({_NEAR}, '\\b(serial|sku|hash|part|model|token)\\b'))"""
 
 OP5 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -38,6 +43,7 @@ spans AS (
 UNION ALL {_spans('ip', 1, '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+', f"regexp_full_match(m, '{_OCTET}(?:[.]{_OCTET}){{3}}')")}
 UNION ALL {_spans('card', 2, '[0-9](?:[ -]?[0-9])+', f"length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}")}
 UNION ALL {_spans('phone', 3, '[+][0-9][ ().0-9-]+[0-9]', f"length({_DIGITS}) BETWEEN 10 AND 15")}
+UNION ALL {_spans('iban', 4, '[A-Z][A-Z][0-9][0-9](?: ?[A-Z0-9][A-Z0-9][A-Z0-9][A-Z0-9]){2,7}(?: ?[A-Z0-9]{1,3})?', _IBAN, False)}
 ),
 by_doc AS (
 SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card,

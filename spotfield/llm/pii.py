@@ -32,7 +32,7 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?",
 }
 # a text without a match of this cannot have one of the pattern
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "iban": r"[A-Z][0-9]{2}"}
@@ -45,6 +45,7 @@ NEARBY = {
     "phone": (r"\b(phone|tel|call|mobile|cell|fax|telefon|appel)\b", r"\b(order|serial|version|ref)\b"),
     "iban": (r"\b(iban|account|bank|bic|swift|transfer|konto|compte|cuenta)\b", r"\b(serial|sku|hash|part|model|token)\b"),
 }
+INSIDE = "[A-Za-z0-9]"  # an added span does not begin or end inside a word
 RAISE, LOWER, THRESHOLD, REACH = 0.2, 0.3, 0.5, 40
 
 
@@ -89,7 +90,7 @@ def confirmed(kind: str, value: Column) -> Column:
 
 
 def _spans_of(kind: str, text: Column, found: Column, gaps: Column) -> Column:
-    """array<struct<start, kind_no, end, kind, value, score>>"""
+    """array<struct<start, kind_no, end, kind, value, score, whole>>"""
     good, bad = NEARBY[kind]
 
     def step(acc, i):
@@ -100,15 +101,15 @@ def _spans_of(kind: str, text: Column, found: Column, gaps: Column) -> Column:
         score = F.lit(PRIOR[kind]) + F.when(around.rlike(good), RAISE).otherwise(0.0) - F.when(around.rlike(bad), LOWER).otherwise(0.0)
         span = F.struct(
             start.alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), end.alias("end"), F.lit(kind).alias("kind"), value.alias("value"),
-            score.alias("score"))
+            score.alias("score"), (~F.substring(gap, -1, 1).rlike(INSIDE) & ~F.substring(F.get(gaps, i + 1), 1, 1).rlike(INSIDE)).alias("whole"))
         return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    none = F.expr("cast(array() as array<struct<start:int,kind_no:int,end:int,kind:string,value:string,score:double>>)")
+    none = F.expr("cast(array() as array<struct<start:int,kind_no:int,end:int,kind:string,value:string,score:double,whole:boolean>>)")
     zero = F.struct(F.lit(0).alias("pos"), none.alias("out"))
     all_found = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step, lambda acc: acc["out"])
     kept = F.filter(all_found, lambda s: confirmed(kind, s["value"]))
     if kind not in BASE:
-        kept = F.filter(kept, lambda s: s["score"] >= THRESHOLD)
+        kept = F.filter(kept, lambda s: s["whole"] & (s["score"] >= THRESHOLD))
     return F.when(F.size(found) > 0, kept).otherwise(none)
 
 
