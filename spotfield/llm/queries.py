@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, pii
+from . import exact_dedup, pii, simhash
 from .common import table
 
 
@@ -14,4 +14,8 @@ def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.assign(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_pii, op6_exact_dedup)}
+def op7_simhash(spark, sf_dir):
+    return simhash.assign(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op5_pii, op6_exact_dedup, op7_simhash)}
