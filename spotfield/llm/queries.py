@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, pii, simhash
+from . import exact_dedup, pii, quality, simhash
 from .common import table
 
 
+def op2_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_pii(spark, sf_dir):
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -18,4 +22,4 @@ def op7_simhash(spark, sf_dir):
     return simhash.assign(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_pii, op6_exact_dedup, op7_simhash)}
+QUERIES = {f.__name__: f for f in (op2_quality, op5_pii, op6_exact_dedup, op7_simhash)}
