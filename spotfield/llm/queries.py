@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, pii, quality, simhash
+from . import exact_dedup, pii, quality, simhash, toxicity
 from .common import table
 
 
@@ -22,4 +22,8 @@ def op7_simhash(spark, sf_dir):
     return simhash.assign(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op5_pii, op6_exact_dedup, op7_simhash)}
+def op10_toxicity(spark, sf_dir):
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality, op5_pii, op6_exact_dedup, op7_simhash, op10_toxicity)}
