@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, pii, quality, simhash, toxicity
+import public_tokenizers
+
+from . import exact_dedup, packing, pieces, pii, quality, simhash, toxicity
 from .common import table
 
 
@@ -22,8 +24,21 @@ def op7_simhash(spark, sf_dir):
     return simhash.assign(table(spark, sf_dir, "documents"))
 
 
+def vocabulary(name: str) -> bytes:
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
+def op8_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op9_pieces(spark, sf_dir):
+    return pieces.digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op10_toxicity(spark, sf_dir):
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op5_pii, op6_exact_dedup, op7_simhash, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_quality, op5_pii, op6_exact_dedup, op7_simhash, op8_packing, op9_pieces, op10_toxicity)}
