@@ -39,6 +39,7 @@ from .common import attach, materialise, ship_package
 from .graph import components
 
 WORDS, DISTANCE, SEED = 4, 4, 42
+PARTITIONS = 3       # of about 21 bits: buckets stay small to tens of millions of texts; 2 for billions
 COARSE = 10          # leading bits of a partition in its histogram
 VERIFY_COST = 0.25   # of a candidate, in signatures
 BUCKET = 16_384      # fingerprints of one bucket in one task
@@ -104,16 +105,6 @@ def ball(width: int, radius: int) -> int:
     return sum(comb(width, k) for k in range(radius + 1))
 
 
-def partition_count(n: int, distance: int) -> int:
-    """The number of equal partitions with the least expected work for ``n`` evenly spread fingerprints."""
-
-    def work(m):
-        width, (each, more) = 64 // m, divmod(distance + 1, m)
-        return (more * ball(width, each) + (m - more) * ball(width, each - 1)) * (1 + VERIFY_COST * n / 2.0**width)
-
-    return min(range(2, distance + 2), key=work)
-
-
 def group_bits(both: np.ndarray, n: int, m: int) -> list[list[int]]:
     """``m`` partitions of the 64 bits; each grows from the most correlated pair left by the bit closest to it."""
     p = np.diag(both) / n
@@ -241,13 +232,13 @@ def _verify(keys, fps, kinds, distance):
     return forest(np.concatenate(links_a), np.concatenate(links_b))
 
 
-def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def links(fps: DataFrame, distance: int = DISTANCE, partitions: int = PARTITIONS) -> DataFrame:
     """(a, b) longs: a forest of the graph that joins fingerprints (distinct, column ``fp``) within ``distance`` bits."""
     both = np.zeros(64 * 64, dtype=np.int64)
     for cell, n in _counted(fps, _both_set).items():
         both[cell] = n
     n = fps.count()
-    m = partition_count(n, distance)
+    m = partitions
     groups = group_bits(both.reshape(64, 64), max(n, 1), m)
     units = distance + 1
 
