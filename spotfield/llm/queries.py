@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import exact_dedup, packing, pieces, pii, quality, simhash, toxicity
+from . import exact_dedup, lattice, packing, pieces, pii, quality, simhash, toxicity
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op2_quality(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_lattice(spark, sf_dir):
+    return lattice.score(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op5_pii(spark, sf_dir):
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -41,4 +45,4 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op5_pii, op6_exact_dedup, op7_simhash, op8_packing, op9_pieces, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_lattice, op5_pii, op6_exact_dedup, op7_simhash, op8_packing, op9_pieces, op10_toxicity)}
