@@ -25,14 +25,14 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, hot_keys: in
     The ``hot_keys`` largest groups by ``size`` are broadcast: that many rows at
     most, whatever the input.  Every other group holds less than one row in
     ``hot_keys`` of all, so a shuffled join deals the rest evenly.  A row of a hot
-    group takes a key of its own into the shuffled join and finds nothing there.
+    group, or with a null key, takes a key of its own into the shuffled join and finds nothing there.
     """
     added = [c for c in groups.columns if c != key]
     hot = groups.orderBy(F.desc(size), key).limit(hot_keys)
     near = hot.select(F.col(key), F.struct(*added).alias("_hot"))
     out = rows.join(F.broadcast(near), key, "left")
     cold_key = F.when(F.col("_hot").isNull(), F.col(key))
-    spread = F.when(F.col("_hot").isNotNull(), F.monotonically_increasing_id())
+    spread = F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), F.monotonically_increasing_id())
     far = groups.select(F.col(key).alias("_cold_key"), F.lit(None).cast("long").alias("_spread"), F.struct(*added).alias("_cold"))
     out = out.withColumn("_k", cold_key).withColumn("_s", spread)
     joined = out.join(far, (F.col("_k") == F.col("_cold_key")) & F.col("_s").eqNullSafe(F.col("_spread")), "left")

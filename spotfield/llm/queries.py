@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from . import exact_dedup, lattice, packing, pieces, pii, quality, simhash, toxicity
+from . import exact_dedup, lattice, packing, pieces, pii, quality, simhash, topk, toxicity, warc
 from .common import table
 
 
+def op1_warc(spark, sf_dir):
+    return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_quality(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -16,6 +21,10 @@ def op3_lattice(spark, sf_dir):
     return lattice.score(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op4_topk(spark, sf_dir):
+    return topk.top(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_pii(spark, sf_dir):
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -45,4 +54,4 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_lattice, op5_pii, op6_exact_dedup, op7_simhash, op8_packing, op9_pieces, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality, op3_lattice, op4_topk, op5_pii, op6_exact_dedup, op7_simhash, op8_packing, op9_pieces, op10_toxicity)}
