@@ -31,8 +31,10 @@ def sha256(text: Column) -> Column:
 
 
 def _keyed(docs: DataFrame, digest) -> DataFrame:
+    """(id, body, digest, rest): the text once, all other columns as one struct."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("id"), text.alias("body"), digest(text).alias("digest"))
+    rest = F.struct(F.col("text").isNull().alias("no_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
+    return docs.select(F.col("doc_id").alias("id"), text.alias("body"), digest(text).alias("digest"), rest.alias("rest"))
 
 
 def _merged(keyed: DataFrame, aggregates, salts: int) -> DataFrame:
@@ -44,7 +46,7 @@ def _merged(keyed: DataFrame, aggregates, salts: int) -> DataFrame:
 
 def assign(docs: DataFrame, digest=sha256, salts: int = SALTS) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) per row; the largest id of equal texts stays."""
-    keyed = _keyed(docs, digest).drop("doc")
+    keyed = _keyed(docs, digest).drop("rest")
 
     def counts(stage):
         n = F.count(F.lit(1)) if stage == 0 else F.sum("group_size")
@@ -72,7 +74,8 @@ def survivors(docs: DataFrame, digest=sha256, salts: int = SALTS) -> DataFrame:
     """The rows of ``docs`` that stay, one per distinct text, with all their columns."""
 
     def rows(stage):
-        order = F.coalesce(F.col("id"), F.lit(-(1 << 63))) if stage == 0 else F.col("top")
-        return [F.max_by("doc", order).alias("doc"), F.max(order).alias("top")]
+        order = F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63))) if stage == 0 else F.col("top")
+        return [F.max_by("rest", order).alias("rest"), F.max(order).alias("top")]
 
-    return _merged(_keyed(docs, digest), rows, salts).select("doc.*")
+    text = F.when(~F.col("rest.no_text"), F.col("body")).alias("text")
+    return _merged(_keyed(docs, digest), rows, salts).select(*[text if c == "text" else F.col("rest.row")[c].alias(c) for c in docs.columns])

@@ -174,5 +174,19 @@ def label_counts(labels: DataFrame, label: str) -> tuple[int, int]:
     return row.zero, row.one
 
 
+def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score at least ``least``, with all their columns."""
+    ship_package(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels, label), label_counts(labels, label)))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        of = shared.value.scorer()
+        for batch in batches:
+            yield batch.filter(pa.array([of((t or "").encode()) >= least for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     return score(docs, fit(labelled_sample(docs, labels, label), label_counts(labels, label)))
