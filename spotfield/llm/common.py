@@ -38,3 +38,32 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, hot_keys: in
     joined = out.join(far, (F.col("_k") == F.col("_cold_key")) & F.col("_s").eqNullSafe(F.col("_spread")), "left")
     found = F.coalesce(F.col("_hot"), F.col("_cold"))
     return joined.select(*rows.columns, *[found[c].alias(c) for c in added])
+
+
+class Remembered(dict):
+    """Results of ``make`` by key, about ``limit`` of them: what was not asked for while half as many others came goes."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.half, self.old = make, limit // 2, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+
+_LOADED: dict = {}
+
+
+def loaded(kind, content: bytes):
+    """``kind(content)``, kept by a Python worker from one task to the next; one of each kind."""
+    held = _LOADED.get(kind)
+    if held is None or held[0] != content:
+        held = _LOADED[kind] = (content, kind(content))
+    return held[1]
