@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
+REACHED = 1e-10  # relative residual accepted once the iteration limit is reached
+SETTLED, LEAST_ROUNDS = 1e-7, 40  # of the eigenvalue search
+
 
 class Rows:
     """Sparse symmetric matrices of one component, sorted by row."""
@@ -29,7 +32,7 @@ class Rows:
 
 
 def conjugate_gradients(rows: Rows, values, rhs, guess=None, tolerance=1e-12, limit=200_000):
-    """Jacobi-preconditioned solve; raises when the residual stays too large."""
+    """Jacobi-preconditioned solve to ``tolerance``; raises where rounding keeps the residual above ``REACHED``."""
     scale = np.linalg.norm(rhs)
     x = np.zeros_like(rhs) if guess is None else guess.copy()
     if scale == 0:
@@ -49,20 +52,54 @@ def conjugate_gradients(rows: Rows, values, rhs, guess=None, tolerance=1e-12, li
         new = r @ z
         p = z + (new / rz) * p
         rz = new
-    if np.linalg.norm(rhs - rows.times(values, x)) <= 1e-8 * scale:
+    reached = np.linalg.norm(rhs - rows.times(values, x)) / scale
+    if reached <= REACHED:
         return x
-    raise RuntimeError("the transport solve did not converge")
-
-
-def smallest_eigenvalue(rows: Rows, stiffness, mass, steps=4):
-    """Smallest generalized eigenvalue by shifted inverse iteration."""
-    shift = 1e-8 * max(np.abs(stiffness).max(), 1e-300)
-    shifted = stiffness + shift * mass
-    v = np.random.default_rng(0).standard_normal(len(rows.names)) + 1.0
-    best = np.inf
-    for _ in range(steps):
-        v = v / np.sqrt(v @ rows.times(mass, v))
-        best = min(best, float(v @ rows.times(stiffness, v)))
-        v = conjugate_gradients(rows, shifted, rows.times(mass, v), guess=v / shift, tolerance=1e-8)
-    v = v / np.sqrt(v @ rows.times(mass, v))
-    return min(best, float(v @ rows.times(stiffness, v)))
+    raise RuntimeError(f"the transport solve stopped at a relative residual of {reached:.1e}")
+
+
+def _ritz(rows: Rows, stiffness, mass, basis, wanted):
+    """Best approximations to the lowest eigenpairs inside the span of ``basis``."""
+    times = lambda values, x: np.column_stack([rows.times(values, c) for c in x.T])
+    basis = basis / np.maximum(np.linalg.norm(basis, axis=0), 1e-300)
+    gram = basis.T @ times(mass, basis)
+    size, ways = np.linalg.eigh((gram + gram.T) / 2)
+    kept = size > 1e-12 * size.max()
+    basis = basis @ (ways[:, kept] / np.sqrt(size[kept]))
+    small = basis.T @ times(stiffness, basis)
+    value, y = np.linalg.eigh((small + small.T) / 2)
+    x = basis @ y[:, :wanted]
+    value = value[: x.shape[1]]
+    return value, x, times(stiffness, x) - times(mass, x) * value
+
+
+def smallest_eigenvalues(rows: Rows, stiffness, mass, count=1, limit=3000):
+    """The ``count`` smallest eigenvalues of K v = lambda M v, negative ones included.
+
+    A block of vectors descends on the Rayleigh quotient along preconditioned
+    residuals and its last steps.  Minima of the quotient are eigenvalues of the
+    lowest end only, so an indefinite K is found out whatever the start; one
+    vector more than asked for has to settle too.  Raises if they do not settle.
+    """
+    n = len(rows.names)
+    block = min(n, count + 3)
+    x = np.random.default_rng(0).standard_normal((n, block))
+    x[:, 0] = 1.0  # constants carry no stiffness
+    diagonal, weight = np.abs(rows.diagonal(stiffness)), np.abs(rows.diagonal(mass))
+    scale = max(float(np.max(diagonal / np.maximum(weight, 1e-300))), 1e-300)
+    inverse = 1.0 / (diagonal + 1e-3 * scale * weight + 1e-300)
+    value, x, residual = _ritz(rows, stiffness, mass, np.eye(n) if n <= 3 * block else x, block)
+    step = np.zeros((n, 0))
+    watched = min(count + 1, block)
+    for round_ in range(limit):
+        off = np.linalg.norm(residual, axis=0) / (scale * np.maximum(np.linalg.norm(np.column_stack([rows.times(mass, c) for c in x.T]), axis=0), 1e-300))
+        if (round_ >= LEAST_ROUNDS or n <= 3 * block) and off[:count].max() <= SETTLED and off[:watched].max() <= 1e3 * SETTLED:
+            return value[:count]
+        old = x
+        value, x, residual = _ritz(rows, stiffness, mass, np.column_stack([x, inverse[:, None] * residual, step]), block)
+        step = x - old @ (old.T @ np.column_stack([rows.times(mass, c) for c in x.T]))
+    raise RuntimeError("the smallest eigenvalues did not settle")
+
+
+def smallest_eigenvalue(rows: Rows, stiffness, mass):
+    return float(smallest_eigenvalues(rows, stiffness, mass)[0])

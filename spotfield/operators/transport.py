@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..kernels.solver import Rows, conjugate_gradients, smallest_eigenvalue
+from ..kernels.solver import Rows, conjugate_gradients
+from ..kernels.solver import smallest_eigenvalues as lowest
 from ..runtime import materialise
 from .geometry import tensor_at
 from .mesh import Mesh, triangles
@@ -184,15 +185,16 @@ def checks(entries: DataFrame, mesh_nodes: DataFrame, spectrum: bool = False) ->
     return out.join(lowest, "specimen")
 
 
-def smallest_eigenvalues(entries: DataFrame) -> DataFrame:
-    """Smallest eigenvalue of K v = lambda M v per component."""
+def smallest_eigenvalues(entries: DataFrame, n_eigenvalues: int = 1) -> DataFrame:
+    """The smallest eigenvalues of K v = lambda M v per component: (specimen, component, rank, eigenvalue)."""
     kind = dict(entries.dtypes)["specimen"]
 
     def run(key, pdf):
         rows = Rows(pdf["i"].to_numpy(), pdf["j"].to_numpy(), pdf["k"].to_numpy(), pdf["m"].to_numpy())
-        return pd.DataFrame({"specimen": [key[0]], "component": [key[1]], "eigenvalue": [smallest_eigenvalue(rows, *rows.values)]})
+        found = lowest(rows, *rows.values, count=min(n_eigenvalues, len(rows.names)))
+        return pd.DataFrame({"specimen": key[0], "component": key[1], "rank": np.arange(1, len(found) + 1), "eigenvalue": found})
 
-    return entries.groupBy("specimen", "component").applyInPandas(run, f"specimen {kind}, component int, eigenvalue double")
+    return entries.groupBy("specimen", "component").applyInPandas(run, f"specimen {kind}, component int, rank int, eigenvalue double")
 
 
 def validate(entries: DataFrame, mesh_nodes: DataFrame, symmetry_tolerance: float = 1e-10,

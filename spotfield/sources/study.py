@@ -162,7 +162,7 @@ class Study:
 
     @cached_property
     def weights(self) -> DataFrame:
-        return materialise(projection.footprint_weights(self.located, self.nodes, self.mesh.frame, SPOT_UM), "weights")
+        return materialise(projection.footprint_weights(self.located.where(projection.is_inside()), self.nodes, self.mesh.frame, SPOT_UM), "weights")
 
     @property
     def load(self) -> DataFrame:

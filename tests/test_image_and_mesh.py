@@ -206,6 +206,10 @@ def test_locate_and_weights(spark, slide):
     xy = rng.random((300, 2)) * [330, 410] - 5
     pts = spark.createDataFrame(pd.DataFrame({"specimen": "a", "obs_id": range(300), "x_um": xy[:, 0], "y_um": xy[:, 1]}))
     located = materialise(projection.locate(pts, slide["mesh"], 5.0), "located")
+    for radius in (None, 15.0):
+        with pytest.raises(projection.OutsideTissueError):
+            projection.footprint_weights(located, slide["nodes"], slide["mesh"].frame, radius)
+    everywhere, located = located, located.where(projection.is_inside())
     w = projection.footprint_weights(located, slide["nodes"], slide["mesh"].frame)
     at = projection.interpolate(w, slide["nodes"], "x").toPandas().set_index("obs_id")["h"]
     inside = located.where("tri >= 0 AND NOT snapped").select("obs_id", "x_um").toPandas().set_index("obs_id")["x_um"]
@@ -216,7 +220,10 @@ def test_locate_and_weights(spark, slide):
     sums = foot.groupBy("obs_id").agg(F.sum("w").alias("s")).toPandas()["s"]
     assert np.allclose(sums, 1.0) and len(sums) == located.where("tri >= 0").count()
     with pytest.raises(projection.OutsideTissueError, match="lie outside"):
-        projection.require_inside(located)
+        projection.require_inside(everywhere)
+    kept = projection.contains(pts, slide["mesh"], 5.0)
+    assert kept.columns == pts.columns and {r.obs_id for r in kept.collect()} == {r.obs_id for r in located.collect()}
+    assert {r.obs_id for r in projection.snapped(everywhere).collect()} == set(snapped["obs_id"])
 
 
 def test_operator_against_dense_solve(spark, slide):
@@ -250,3 +257,32 @@ def test_validation(slide):
     with pytest.raises(transport.OperatorError, match="not symmetric"):
         transport.validate(broken, slide["nodes"], spectrum=False)
     assert len(transport.validate(broken, slide["nodes"], spectrum=False, strict=False).first().failures) >= 1
+
+
+def test_smallest_eigenvalue_of_indefinite_matrices(spark):
+    from spotfield.kernels.solver import Rows, smallest_eigenvalues
+
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        n = int(rng.integers(2, 50))
+        a = rng.normal(size=(n, n))
+        k, m = a @ a.T / n - 0.3 * rng.random() * np.eye(n), np.diag(rng.random(n) + 0.5)
+        half = np.diag(1 / np.sqrt(np.diag(m)))
+        i, j = np.nonzero(np.ones((n, n)))
+        rows = Rows(i, j, k[i, j], m[i, j])
+        assert np.allclose(smallest_eigenvalues(rows, *rows.values, count=min(2, n)), np.linalg.eigvalsh(half @ k @ half)[:2], atol=1e-8)
+
+
+def test_negative_eigenvalue_fails_validation(slide):
+    entries = slide["entries"]
+    node = entries.where("i = j").agg(F.max("i")).first()[0]
+    # a rotation of the row sums to zero keeps constants in the kernel
+    other = entries.where(f"i = {node} AND j <> {node}").agg(F.min("j")).first()[0]
+    push = entries.agg(F.max(F.abs("k"))).first()[0]
+    here, there = F.col("i").isin(node, other), F.col("j").isin(node, other)
+    bent = entries.withColumn("k", F.when(here & there, F.col("k") + F.when(F.col("i") == F.col("j"), -push).otherwise(push)).otherwise(F.col("k")))
+    report = transport.validate(bent, slide["nodes"], strict=False).first()
+    assert not report.valid and any("negative" in f for f in report.failures)
+    assert transport.validate(entries, slide["nodes"], strict=False).first().valid
+    lowest = transport.smallest_eigenvalues(entries, 3).orderBy("component", "rank").collect()
+    assert [r["rank"] for r in lowest[:3]] == [1, 2, 3] and lowest[0].eigenvalue <= lowest[1].eigenvalue <= lowest[2].eigenvalue
