@@ -15,7 +15,6 @@ from ..runtime import finite, materialise
 
 HISTOGRAM_BINS = 4096
 SMALL_BRACKET = 1_000_000
-NARROWING_ROUNDS = 4
 
 
 def exact_quantile(values: DataFrame, keys: list[str], value: str, q: float, name: str) -> DataFrame:
@@ -35,10 +34,12 @@ def exact_quantile(values: DataFrame, keys: list[str], value: str, q: float, nam
                 F.floor(rank).alias("_k0"), F.ceil(rank).alias("_k1"), (rank - F.floor(rank)).alias("_frac")),
         "quantile")
 
-    for _ in range(NARROWING_ROUNDS):
+    before = None
+    while True:
         widest = state.where(F.col("_hi") > F.col("_lo")).agg(F.max("_inside")).first()[0]
-        if widest is None or widest <= SMALL_BRACKET:
+        if widest is None or widest <= SMALL_BRACKET or widest == before:
             break
+        before = widest
         state = _narrow(v, state, keys)
 
     inside = v.join(state, keys).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))

@@ -176,6 +176,7 @@ def range_report(ell_hat, best_index, n_ranges, support, threshold, grid_low, gr
     def scaled(bits):
         return ell * F.pow(F.lit(2.0), bits)
 
+    # a support that is not a number counts as not exceeding the threshold, like a missing one
     short = ell < F.lit(S.SHORT_RANGE_UM)
     band = by_level(S.SHORT_BAND)
     below, above = scaled(-band), scaled(band)

@@ -111,7 +111,9 @@ def drop_small_components(labelled: DataFrame, extent: DataFrame, tile: int = TI
         by_root.groupBy("specimen", "component").agg(F.sum("n").alias("n")).join(extent, "specimen")
         .where((needed <= 1) | (F.col("n") >= needed)).select("specimen", "component"))
     kept = materialise(by_root.select("specimen", "label", "component").join(large, ["specimen", "component"]), "labels")
-    return labelled.join(kept, ["specimen", "label"], "left").drop("label")
+    # background has no label: keys of its own, below all labels, deal it evenly and match nothing
+    spread = F.when(F.col("mask"), F.col("label")).otherwise(-1 - F.pmod(F.xxhash64("row", "col"), F.lit(1 << 20)))
+    return labelled.withColumn("label", spread).join(kept, ["specimen", "label"], "left").drop("label")
 
 
 def tissue(pixels: DataFrame, specimens: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFrame]:

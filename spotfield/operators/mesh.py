@@ -26,6 +26,8 @@ from ..runtime import materialise
 from .components import ROW_STEP, label_cells, with_roots
 from .tiles import TILE
 
+COPIES = 32  # of a component's number, for its cells to join with
+
 
 class Mesh(NamedTuple):
     cells: DataFrame
@@ -116,17 +118,26 @@ def build(tissue: DataFrame, extent: DataFrame, spacing_um: float | None = None,
     rooted = with_roots(materialise(label_cells(grid, True, tile), "cell-labels"), True, tile)
     cells = materialise(rooted.select("specimen", F.col("col").alias("i"), F.col("row").alias("j"), "root"), "rooted")
     number = materialise(_component_numbers(cells), "numbers")
-    cells = materialise(cells.join(number, ["specimen", "root"]).select("specimen", "i", "j", "component"), "mesh")
+    # the cells of a large component are dealt over copies of its number
+    copies = number.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    dealt = cells.withColumn("copy", F.pmod(F.xxhash64("i", "j"), F.lit(COPIES)).cast("int"))
+    cells = materialise(dealt.join(copies, ["specimen", "root", "copy"]).select("specimen", "i", "j", "component"), "mesh")
     mesh = Mesh(cells, frame)
     if keep_components == "largest":
         return keep_largest(mesh)
-    split = number.groupBy("specimen").agg(F.count("*").alias("n")).where("n > 1").limit(5).collect()
-    for r in split:
-        warnings.warn(f"the mesh of specimen {r[0]} has {r[1]} separate components; transport cannot cross between them",
-                      stacklevel=2)
+    split = number.groupBy("specimen").agg(F.count("*").alias("n")).where("n > 1")
+    found = split.agg(F.count("*"), F.min(F.struct("specimen", "n"))).first()
+    if found[0]:
+        warnings.warn(f"the meshes of {found[0]} specimen(s) have separate components, which transport cannot cross: see component_sizes "
+                      f"(specimen {found[1][0]} has {found[1][1]} separate components)", stacklevel=2)
     return mesh
 
 
+def component_sizes(mesh: Mesh) -> DataFrame:
+    """(specimen, component, n_nodes), for meshes that fall apart and what ``keep_largest`` would discard."""
+    return nodes(mesh).groupBy("specimen", "component").agg(F.count("*").alias("n_nodes"))
+
+
 def _component_numbers(cells: DataFrame) -> DataFrame:
     """Number components 0, 1, ... by their first cell."""
     w = Window.partitionBy("specimen").orderBy(F.floor(F.col("root") / F.lit(ROW_STEP)), F.col("root") % F.lit(ROW_STEP))
@@ -134,8 +145,11 @@ def _component_numbers(cells: DataFrame) -> DataFrame:
 
 
 def keep_largest(mesh: Mesh) -> Mesh:
-    """Keep each specimen's component with the most nodes (not the most area)."""
-    sizes = nodes(mesh).groupBy("specimen", "component").agg(F.count("*").alias("n"))
+    """Keep each specimen's component with the most nodes (not the most area); warns of what goes."""
+    sizes = materialise(component_sizes(mesh).withColumnRenamed("n_nodes", "n"), "sizes")
+    gone = sizes.agg(F.count("*") - F.countDistinct("specimen"), F.sum("n")).first()
+    if gone[0]:
+        warnings.warn(f"{gone[0]} smaller component(s) are discarded: see component_sizes of the whole mesh", stacklevel=2)
     best = materialise(
         sizes.groupBy("specimen").agg(F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("b"))
         .select("specimen", (-F.col("b.c")).alias("component")), "largest")
