@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -24,7 +25,7 @@ def scratch_root(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if sc.applicationId not in _LOCAL_ROOT:
         _LOCAL_ROOT[sc.applicationId] = tempfile.mkdtemp(prefix="spotfield-")
