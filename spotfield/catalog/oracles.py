@@ -410,10 +410,12 @@ def _band(table, level="level"):
     return f"CASE WHEN {level} = 0.90e0 THEN {d(table[0.90])} ELSE {d(table[0.95])} END"
 
 
+_PAIRS = "(VALUES " + ", ".join(f"('{name}')" for name, _, _ in PAIRS) + ") p(complex_id)"
+
 ORACLES: dict[str, str] = {
     "score_bounded": query(f"""
-SELECT o.specimen, o.obs_id, {r6('coalesce(score, 0e0)')} AS score FROM obs o LEFT JOIN (SELECT * FROM scores WHERE complex_id = 'P1') s
-ON s.obs_id = o.obs_id""", "obs", "scores"),
+SELECT o.specimen, p.complex_id, o.obs_id, {r6('coalesce(score, 0e0)')} AS score FROM obs o CROSS JOIN {_PAIRS} LEFT JOIN scores s
+ON s.obs_id = o.obs_id AND s.complex_id = p.complex_id""", "obs", "scores"),
     "score_complex": query("SELECT specimen, complex_id, obs_id, raw FROM complexes", "complexes"),
     "score_all_ligands": query(f"SELECT specimen, complex_id, obs_id, {r6('score')} AS score FROM scores", "scores"),
     "qc_supplier": f"""
@@ -464,7 +466,7 @@ SELECT pair_id, status, {r6('coalesce(lower_um, -1e0)')} AS lower_um, {r6('coale
       ell_hat * pow(2e0, CASE WHEN ell_hat < 64e0 THEN {_band(S.SHORT_UPPER)} ELSE {_band(S.LONG_UPPER)} END) AS upper FROM fits)))""", "fits"),
     "evidence_partial_r2": query(f"SELECT pair_id, fold, {r6('(loss_without - loss_with) / loss_without')} AS r2 FROM losses", "losses"),
     "evidence_specificity": query(f"""
-SELECT pair_id, count(*) >= 2 AND bool_and((loss_without - loss_with) / loss_without >= 0.0495e0) AS supported FROM losses GROUP BY 1""", "losses"),
+SELECT pair_id, count(*) >= 2 AND bool_and((loss_without - loss_with) / loss_without >= {d(S.SPECIFICITY_R2)}) AS supported FROM losses GROUP BY 1""", "losses"),
     "evidence_gain": query(f"SELECT pair_id, fold, {r6('(loss_without - loss_with) / greatest(n, 1)')} AS gain FROM losses", "losses"),
     "robust_anisotropy": query(f"""
 SELECT pair_id, {r6('log2(max(range_um) / min(range_um))')} AS spread_bits, log2(max(range_um) / min(range_um)) <= 1e0 AS robust FROM refits GROUP BY 1""", "refits"),
@@ -555,12 +557,13 @@ SELECT p.obs_id AS obs_i, q.obs_id AS obs_j, {r6('(1e0 - 0.25e0) * (1e0 + s) * e
 FROM (SELECT * FROM emb) p JOIN emb q ON sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) <= 60e0
 CROSS JOIN LATERAL (SELECT sqrt(3e0) * sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) / 40e0 AS s)""", "emb"),
     "gls_fit": query(f"""
-SELECT specimen, {r4('regr_intercept(raw, library_size)')} AS intercept, {r6('regr_slope(raw, library_size)')} AS slope, 2 AS rank FROM (
-  SELECT o.specimen, coalesce(raw, 0e0) AS raw, library_size FROM obs o LEFT JOIN (SELECT * FROM complexes WHERE complex_id = 'P1') c ON c.obs_id = o.obs_id)
-GROUP BY 1""", "obs", "complexes"),
+SELECT specimen, response_id, {r4('regr_intercept(raw, library_size)')} AS intercept, {r6('regr_slope(raw, library_size)')} AS slope, 2 AS rank FROM (
+  SELECT o.specimen, p.complex_id AS response_id, coalesce(raw, 0e0) AS raw, library_size FROM obs o CROSS JOIN {_PAIRS}
+  LEFT JOIN complexes c ON c.obs_id = o.obs_id AND c.complex_id = p.complex_id)
+GROUP BY ALL""", "obs", "complexes"),
     "flow_contact": query(f"""
-SELECT o.specimen, o.obs_id, {r6('coalesce(h, 0e0)')} AS h FROM obs o LEFT JOIN (
-  SELECT p.obs_id, avg(coalesce(score, 0e0)) AS h FROM obs p JOIN obs q ON p.specimen = q.specimen AND p.obs_id <> q.obs_id
+SELECT o.specimen, o.complex_id, o.obs_id, {r6('coalesce(h, 0e0)')} AS h FROM (SELECT obs.*, complex_id FROM obs CROSS JOIN {_PAIRS}) o LEFT JOIN (
+  SELECT p.obs_id, p.complex_id, avg(coalesce(score, 0e0)) AS h FROM (SELECT obs.*, complex_id FROM obs CROSS JOIN {_PAIRS}) p JOIN obs q ON p.specimen = q.specimen AND p.obs_id <> q.obs_id
     AND sqrt(pow(p.x_um - q.x_um, 2) + pow(p.y_um - q.y_um, 2)) <= {d(S.CONTACT_RADIUS_FACTOR * MEDIAN_NN_UM + 1e-9)}
-  LEFT JOIN (SELECT * FROM scores WHERE complex_id = 'P1') s ON s.obs_id = q.obs_id GROUP BY 1) t ON t.obs_id = o.obs_id""", "obs", "scores"),
+  LEFT JOIN scores s ON s.obs_id = q.obs_id AND s.complex_id = p.complex_id GROUP BY ALL) t ON t.obs_id = o.obs_id AND t.complex_id = o.complex_id""", "obs", "scores"),
 }

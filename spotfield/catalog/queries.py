@@ -40,10 +40,14 @@ def r4(c):
 
 @registered
 def score_bounded(s: Study):
-    one = s.ligands.where(F.col("complex_id") == "P1")
-    scores = molecular.bounded_scores(molecular.complex_counts(s.written_counts, one), s.observations)
-    return s.observations.select("specimen", "obs_id").join(scores.select("specimen", "obs_id", "score"), ["specimen", "obs_id"], "left").select(
-        "specimen", "obs_id", r6(F.coalesce("score", F.lit(0.0))).alias("score"))
+    scores = molecular.bounded_scores(molecular.complex_counts(s.written_counts, s.ligands), s.observations)
+    return _of_every_pair(s).join(scores.select("specimen", "complex_id", "obs_id", "score"), ["specimen", "complex_id", "obs_id"], "left").select(
+        "specimen", "complex_id", "obs_id", r6(F.coalesce("score", F.lit(0.0))).alias("score"))
+
+
+def _of_every_pair(s: Study, *columns: str):
+    """Every observation beside every pair asked of its specimen."""
+    return s.observations.select("specimen", "obs_id", *columns).join(s.ligands.select("specimen", "complex_id"), "specimen")
 
 
 @registered
@@ -187,7 +191,7 @@ def evidence_partial_r2(s: Study):
 @registered
 def evidence_specificity(s: Study):
     r2 = _losses(s).withColumn("r2", scalar.partial_r2("loss_without", "loss_with"))
-    return evidence.specificity(r2, ["pair_id"], threshold=0.0495)
+    return evidence.specificity(r2, ["pair_id"])
 
 
 @registered
@@ -504,10 +508,10 @@ def matern_pairs(s: Study):
 
 
 def _embedding_data(s: Study):
-    """Third embedding coordinate against intercept and the fourth."""
+    """Third embedding coordinate against intercept and the fourth; each label is a specimen."""
     e = F.col("embedding")
     return s.table("embeddings").select(
-        F.lit(0).alias("specimen"), F.lit("e2").alias("response_id"), F.col("vec_id").alias("obs_id"),
+        F.col("label").alias("specimen"), F.lit("e2").alias("response_id"), F.col("vec_id").alias("obs_id"),
         (F.lit(1000.0) * e[0].cast("double")).alias("x_um"), (F.lit(1000.0) * e[1].cast("double")).alias("y_um"),
         e[2].cast("double").alias("y"), F.array(F.lit(1.0), e[3].cast("double")).alias("baseline"), e)
 
@@ -519,24 +523,24 @@ def _embedding_exposures(data):
         "specimen", "response_id", "obs_id", "z.ell", "z.h")
 
 
-def _embedding_fit(s: Study, method="auto"):
-    bounds = s.spark.createDataFrame([(0, 20.0, 200.0)], "specimen int, phi_low double, phi_high double")
+def _embedding_fit(s: Study, method="vecchia"):
+    bounds = _embedding_data(s).select("specimen").distinct().select("specimen", F.lit(20.0).alias("phi_low"), F.lit(200.0).alias("phi_high"))
     return association.fit_covariance(_embedding_data(s), bounds, method)
 
 
 @registered
 def gls_fit(s: Study):
-    one = molecular.complex_counts(s.written_counts, s.ligands.where(F.col("complex_id") == "P1")).select("specimen", "obs_id", "raw")
-    data = s.observations.join(one, ["specimen", "obs_id"], "left").select(
-        "specimen", F.lit("P1").alias("response_id"), F.coalesce("raw", F.lit(0.0)).alias("y"),
+    raw = molecular.complex_counts(s.written_counts, s.ligands).select("specimen", "complex_id", "obs_id", "raw")
+    data = _of_every_pair(s, "library_size").join(raw, ["specimen", "complex_id", "obs_id"], "left").select(
+        "specimen", F.col("complex_id").alias("response_id"), F.coalesce("raw", F.lit(0.0)).alias("y"),
         F.array(F.lit(1.0), "library_size").alias("baseline"))
     return association.least_squares_fits(data).select(
-        "specimen", r4(F.col("coefficients")[0]).alias("intercept"), r6(F.col("coefficients")[1]).alias("slope"), "rank")
+        "specimen", "response_id", r4(F.col("coefficients")[0]).alias("intercept"), r6(F.col("coefficients")[1]).alias("slope"), "rank")
 
 
 @registered
 def covariance_fit(s: Study):
-    return _embedding_fit(s)
+    return _embedding_fit(s, "dense")
 
 
 @registered
@@ -568,10 +572,10 @@ def vecchia_factor(s: Study):
 
 
 def _range_data(s: Study):
-    """Counts of the first receptor gene of each pair, zero where absent."""
-    gene = s.pairs.select("specimen", F.col("pair_id").alias("response_id"), F.col("receptor_subunits")[0].alias("gene_id"))
-    counts = s.written_counts.join(gene, ["specimen", "gene_id"]).select("specimen", "response_id", "obs_id", "raw")
-    inside = s.located.where(F.col("tri") >= 0).join(gene.select("specimen", "response_id"), "specimen")
+    """Counts of each pair's receptor complex, the least of its subunits, zero where absent."""
+    receptors = s.pairs.select("specimen", F.col("pair_id").alias("complex_id"), F.col("receptor_subunits").alias("subunits"))
+    counts = molecular.complex_counts(s.written_counts, receptors).select("specimen", F.col("complex_id").alias("response_id"), "obs_id", "raw")
+    inside = s.located.where(projection.is_inside()).join(receptors.select("specimen", F.col("complex_id").alias("response_id")), "specimen")
     return inside.join(counts, ["specimen", "response_id", "obs_id"], "left").select(
         "specimen", "response_id", "obs_id", "x_um", "y_um", F.coalesce("raw", F.lit(0.0)).alias("y"), "library_size",
         F.array((F.col("detected_genes") / F.lit(25.0))).alias("covariates"))
@@ -605,9 +609,12 @@ def flow_secreted(s: Study):
 
 @registered
 def flow_contact(s: Study):
-    scores = s.ligand_scores.where(F.col("complex_id") == "P1")
-    return flows.contact_exposures(s.observations.select("specimen", "obs_id", "x_um", "y_um"), scores, MEDIAN_NN_UM).select(
-        "specimen", "obs_id", r6("exposure").alias("h"))
+    # one field of contacts per specimen and pair
+    field = F.struct("specimen", "complex_id").alias("specimen")
+    points = _of_every_pair(s, "x_um", "y_um").select(field, "obs_id", "x_um", "y_um")
+    scores = s.ligand_scores.select(field, "obs_id", "score")
+    return flows.contact_exposures(points, scores, MEDIAN_NN_UM).select(
+        "specimen.specimen", "specimen.complex_id", "obs_id", r6("exposure").alias("h"))
 
 
 @registered

@@ -40,7 +40,7 @@ def test_query_matches_sql(spark, con, name):
 def test_flagship(spark):
     import __spark_entry__ as entry
 
-    assert entry.entry(spark).columns == ["specimen", "obs_id", "score"]
+    assert entry.entry(spark).columns == ["specimen", "complex_id", "obs_id", "score"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
