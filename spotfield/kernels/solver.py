@@ -22,7 +22,8 @@ class Rows:
         self.values = [v[order] for v in values]
 
     def times(self, values, x):
-        return np.add.reduceat(values * x[self.col], self.start)
+        """Product with a vector, or with the columns of a matrix."""
+        return np.add.reduceat((values if x.ndim == 1 else values[:, None]) * x[self.col], self.start, axis=0)
 
     def position(self, names):
         return np.searchsorted(self.names, names)
@@ -58,19 +59,45 @@ def conjugate_gradients(rows: Rows, values, rhs, guess=None, tolerance=1e-12, li
     raise RuntimeError(f"the transport solve stopped at a relative residual of {reached:.1e}")
 
 
+def solve_columns(rows: Rows, values, rhs, guess=None, tolerance=1e-12, limit=200_000):
+    """:func:`conjugate_gradients` for the columns of a matrix at once; a column that is done rests."""
+    scale = np.linalg.norm(rhs, axis=0)
+    x = np.zeros_like(rhs) if guess is None else np.where(scale > 0, guess, 0.0)
+    inverse = 1.0 / rows.diagonal(values)[:, None]
+    r = rhs - rows.times(values, x)
+    p = inverse * r
+    rz = np.sum(r * p, axis=0)
+    for _ in range(limit):
+        on = np.flatnonzero(np.linalg.norm(r, axis=0) > tolerance * scale)
+        if not len(on):
+            return x
+        along = p[:, on]
+        ap = rows.times(values, along)
+        step = rz[on] / np.sum(along * ap, axis=0)
+        x[:, on] += step * along
+        r[:, on] -= step * ap
+        z = inverse * r[:, on]
+        new = np.sum(r[:, on] * z, axis=0)
+        p[:, on] = z + new / rz[on] * along
+        rz[on] = new
+    reached = np.max(np.linalg.norm(rhs - rows.times(values, x), axis=0) / np.maximum(scale, 1e-300))
+    if reached <= REACHED:
+        return x
+    raise RuntimeError(f"the transport solve stopped at a relative residual of {reached:.1e}")
+
+
 def _ritz(rows: Rows, stiffness, mass, basis, wanted):
     """Best approximations to the lowest eigenpairs inside the span of ``basis``."""
-    times = lambda values, x: np.column_stack([rows.times(values, c) for c in x.T])
     basis = basis / np.maximum(np.linalg.norm(basis, axis=0), 1e-300)
-    gram = basis.T @ times(mass, basis)
+    gram = basis.T @ rows.times(mass, basis)
     size, ways = np.linalg.eigh((gram + gram.T) / 2)
     kept = size > 1e-12 * size.max()
     basis = basis @ (ways[:, kept] / np.sqrt(size[kept]))
-    small = basis.T @ times(stiffness, basis)
+    small = basis.T @ rows.times(stiffness, basis)
     value, y = np.linalg.eigh((small + small.T) / 2)
     x = basis @ y[:, :wanted]
     value = value[: x.shape[1]]
-    return value, x, times(stiffness, x) - times(mass, x) * value
+    return value, x, rows.times(stiffness, x) - rows.times(mass, x) * value
 
 
 def smallest_eigenvalues(rows: Rows, stiffness, mass, count=1, limit=3000):
@@ -92,12 +119,12 @@ def smallest_eigenvalues(rows: Rows, stiffness, mass, count=1, limit=3000):
     step = np.zeros((n, 0))
     watched = min(count + 1, block)
     for round_ in range(limit):
-        off = np.linalg.norm(residual, axis=0) / (scale * np.maximum(np.linalg.norm(np.column_stack([rows.times(mass, c) for c in x.T]), axis=0), 1e-300))
+        off = np.linalg.norm(residual, axis=0) / (scale * np.maximum(np.linalg.norm(rows.times(mass, x), axis=0), 1e-300))
         if (round_ >= LEAST_ROUNDS or n <= 3 * block) and off[:count].max() <= SETTLED and off[:watched].max() <= 1e3 * SETTLED:
             return value[:count]
         old = x
         value, x, residual = _ritz(rows, stiffness, mass, np.column_stack([x, inverse[:, None] * residual, step]), block)
-        step = x - old @ (old.T @ np.column_stack([rows.times(mass, c) for c in x.T]))
+        step = x - old @ (old.T @ rows.times(mass, x))
     raise RuntimeError("the smallest eigenvalues did not settle")
 
 

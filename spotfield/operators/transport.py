@@ -10,16 +10,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..kernels.solver import Rows, conjugate_gradients
+from ..kernels.solver import Rows, conjugate_gradients, solve_columns
 from ..kernels.solver import smallest_eigenvalues as lowest
 from ..runtime import materialise
 from .geometry import tensor_at
 from .mesh import Mesh, triangles
 
 RANGES_PER_TASK = 6
+LOADS_PER_TASK = 16  # solved together, as columns of one system
 
 
 class OperatorError(RuntimeError):
@@ -93,6 +94,66 @@ def exposure_fields(entries: DataFrame, load: DataFrame, mesh_nodes: DataFrame,
     return _solved(entries, load, mesh_nodes, range_blocks(ranges, per_task), list(keys), solve, "load", "ell double")
 
 
+def receiver_exposures(entries: DataFrame, load: DataFrame, weights: DataFrame, mesh_nodes: DataFrame, ranges: DataFrame,
+                       keys: list[str], per_task: int = RANGES_PER_TASK, loads_per_task: int = LOADS_PER_TASK) -> DataFrame:
+    """The fields of :func:`exposure_fields`, read at the receivers inside the task that solves them.
+
+    ``weights(specimen, obs_id, node, w)`` to ``(specimen, *keys, ell, obs_id, h)``
+    with a row for every receiver, key and range; zero where a component has no
+    load.  A task takes one component, a few ranges and ``loads_per_task`` loads,
+    which it solves together; what it returns grows with receivers, not with nodes.
+    """
+    on = mesh_nodes.select("specimen", "node", "component")
+    asked = load.select("specimen", *keys).distinct()
+    number = F.row_number().over(Window.partitionBy("specimen").orderBy(*keys)) - 1
+    asked = materialise(asked.withColumn("part", F.floor(number / F.lit(loads_per_task)).cast("int")), "loads")
+    blocks = range_blocks(ranges, per_task)
+    placed = materialise(load.join(on, ["specimen", "node"]).join(asked, ["specimen", *keys]), "placed")
+    work = materialise(placed.select("specimen", "component", "part").distinct().join(blocks, "specimen"), "work")
+    group = ["specimen", "component", "part", "block", "ells"]
+    left = entries.join(work, ["specimen", "component"])
+    kinds = {**dict(load.dtypes), "obs_id": dict(weights.dtypes)["obs_id"]}
+    reads = weights.join(on, ["specimen", "node"])
+    blank = [F.lit(None).cast(kinds[k]).alias(k) for k in keys]
+    rows = placed.select("specimen", "component", "part", *keys, "node", F.col("load").alias("value"), F.lit(None).cast(kinds["obs_id"]).alias("obs_id"), F.lit(False).alias("read")).join(
+        work, ["specimen", "component", "part"])
+    rows = rows.unionByName(reads.select("specimen", "component", *blank, "node", F.col("w").alias("value"), "obs_id", F.lit(True).alias("read")).join(
+        work, ["specimen", "component"]))
+    names = ["specimen", *keys, "ell", "obs_id", "h"]
+    schema = ", ".join([f"specimen {kinds['specimen']}", *[f"{k} {kinds[k]}" for k in keys], "ell double", f"obs_id {kinds['obs_id']}", "h double"])
+
+    def run(key, a, b):
+        read = b["read"].to_numpy() if len(b) else np.zeros(0, dtype=bool)
+        sources, receivers = b[~read], b[read]
+        if not len(a) or not len(sources) or not len(receivers):
+            return pd.DataFrame({n: [] for n in names})
+        system = Rows(a["i"].to_numpy(), a["j"].to_numpy(), a["k"].to_numpy(), a["m"].to_numpy())
+        k, m = system.values
+        column = sources.groupby(keys, sort=True).ngroup().to_numpy()
+        labels = sources[keys].assign(_c=column).drop_duplicates("_c").sort_values("_c")[keys]
+        rhs = np.zeros((len(system.names), len(labels)))
+        np.add.at(rhs, (system.position(sources["node"].to_numpy()), column), sources["value"].to_numpy())
+        seen, at = np.unique(receivers["obs_id"].to_numpy(), return_inverse=True)
+        node, w = system.position(receivers["node"].to_numpy()), receivers["value"].to_numpy()[:, None]
+        out, u = [], None
+        for ell in sorted(key[4]):
+            u = solve_columns(system, k + m / (ell * ell), rhs, u)
+            h = np.zeros((len(seen), len(labels)))
+            np.add.at(h, at, w * u[node])
+            out.append(pd.DataFrame({
+                "specimen": key[0], **{c: np.tile(labels[c].to_numpy(), len(seen)) for c in keys}, "ell": ell,
+                "obs_id": np.repeat(seen, len(labels)), "h": h.ravel()}))
+        return pd.concat(out)[names]
+
+    rows = rows.select(*[F.col(c).alias(c) for c in rows.columns])  # both sides descend from the same tables
+    # a footprint lies on one component, so a receiver's value comes from one task
+    solved = left.groupBy(*group).cogroup(rows.groupBy(*group)).applyInPandas(run, schema)
+    loaded = placed.select("specimen", "component", *keys).distinct()
+    bare = reads.select("specimen", "component").distinct().join(asked.drop("part"), "specimen").join(loaded, ["specimen", "component", *keys], "left_anti")
+    zeros = reads.select("specimen", "component", "obs_id").distinct().join(bare, ["specimen", "component"]).join(ranges.select("specimen", F.explode("ells").alias("ell")), "specimen")
+    return solved.unionByName(zeros.select("specimen", *keys, "ell", "obs_id", F.lit(0.0).alias("h")))
+
+
 def mass_solve(entries: DataFrame, load: DataFrame, mesh_nodes: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Solve M u = load."""
     one = load.select("specimen").distinct().select("specimen", F.lit(0).alias("block"), F.array(F.lit(0.0)).alias("ells"))

@@ -31,13 +31,12 @@ def secreted_exposures(scores: DataFrame, weights: DataFrame, nodes: DataFrame,
                        keys: list[str] = ("pair_id",)) -> DataFrame:
     """Exposure of every observation at every candidate range.
 
-    ``scores(specimen, *keys, obs_id, score)`` to ``(specimen, *keys, ell, obs_id, h)``.
-    An observation on a component without sources is absent and means zero.
+    ``scores(specimen, *keys, obs_id, score)`` to ``(specimen, *keys, ell, obs_id, h)``,
+    zero for an observation on a component without sources.
     """
     keys = list(keys)
     load = projection.deposit(weights, scores, "score", keys)
-    fields = transport.exposure_fields(entries, load, nodes, grid, keys)
-    return projection.interpolate(weights, fields, "u", [*keys, "ell"], "h")
+    return transport.receiver_exposures(entries, load, weights, nodes, grid, keys)
 
 
 def contact_exposures(points: DataFrame, scores: DataFrame, median_nn_um: float, by_component: bool = False) -> DataFrame:

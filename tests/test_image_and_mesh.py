@@ -286,3 +286,20 @@ def test_negative_eigenvalue_fails_validation(slide):
     assert transport.validate(entries, slide["nodes"], strict=False).first().valid
     lowest = transport.smallest_eigenvalues(entries, 3).orderBy("component", "rank").collect()
     assert [r["rank"] for r in lowest[:3]] == [1, 2, 3] and lowest[0].eigenvalue <= lowest[1].eigenvalue <= lowest[2].eigenvalue
+
+
+@pytest.mark.parametrize("loads,per_task", [(1, 1), (16, 6)])
+def test_receivers_read_the_solved_fields(spark, slide, loads, per_task):
+    rng = np.random.default_rng(5)
+    names = np.array(slide["nodes"].select("node").toPandas()["node"])
+    load = spark.createDataFrame(pd.DataFrame({
+        "specimen": "a", "pair_id": np.repeat(["p", "q", "r"], 20), "node": rng.choice(names, 60), "load": rng.random(60)})).groupBy("specimen", "pair_id", "node").agg(F.sum("load").alias("load"))
+    weights = spark.createDataFrame(pd.DataFrame({"specimen": "a", "obs_id": np.repeat(range(15), 2), "node": rng.choice(names, 30), "w": 0.5}))
+    weights = materialise(weights.join(slide["nodes"].select("specimen", "node", "component"), ["specimen", "node"]).where("component = 0").drop("component"), "w")
+    grid = spark.createDataFrame([("a", [16.0, 64.0, 24.0])], "specimen string, ells array<double>")
+    fields = transport.exposure_fields(slide["entries"], load, slide["nodes"], grid, ["pair_id"])
+    want = projection.interpolate(weights, fields, "u", ["pair_id", "ell"]).toPandas()
+    got = transport.receiver_exposures(slide["entries"], load, weights, slide["nodes"], grid, ["pair_id"], per_task, loads).toPandas()
+    both = got.merge(want, on=["specimen", "pair_id", "ell", "obs_id"], how="left")
+    assert len(got) == weights.select("obs_id").distinct().count() * 9
+    assert np.allclose(both["h_x"], both["h_y"].fillna(0.0), rtol=1e-8, atol=1e-12)
