@@ -7,6 +7,7 @@ are forgotten first.
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -30,14 +31,14 @@ def main():
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bench")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.sql.adaptive.enabled", "true")
-        .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-")).config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     only = sys.argv[1:] or HEADLINE
     spark.read.parquet(f"{sf_dir}/region.parquet").count()
     times = {}
     for name in only:
-        close_studies()
+        close_studies(spark)
         start = time.time()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - start, 3)

@@ -338,9 +338,7 @@ def geometry_mismatch(s: Study):
 # -- mesh ---------------------------------------------------------------------
 
 def _fine(s: Study):
-    if "_fine_mesh" not in s.__dict__:
-        s.__dict__["_fine_mesh"] = mesh.build(s.tissue, s.extent)
-    return s.__dict__["_fine_mesh"]
+    return s.fine_mesh
 
 
 @registered
@@ -582,12 +580,7 @@ def _range_data(s: Study):
 
 
 def _secreted(s: Study):
-    if "_secreted" not in s.__dict__:
-        grid = materialise(flows.range_grid(s.mesh.frame, s.specimens, s.diameters), "grid")
-        scores = s.ligand_scores.withColumnRenamed("complex_id", "response_id")
-        s.__dict__["_secreted"] = materialise(
-            flows.secreted_exposures(scores, s.weights, s.nodes, s.entries, grid, ["response_id"]), "exposures")
-    return s.__dict__["_secreted"]
+    return s.secreted
 
 
 def _association_data(s: Study):

@@ -50,14 +50,22 @@ def range_profiles(data: DataFrame, exposures: DataFrame, local_rows: int = LOCA
         fits = [fit(y, np.column_stack([base, h[:, k]]), offset, dispersion) for k in range(h.shape[1])]
         return pd.DataFrame([_report(key, pdf["ells"].iloc[0], fits, null, dispersion, len(y))])
 
-    local = keyed.where(F.col("n") <= local_rows).groupBy(*KEYS).applyInPandas(run, schema)
-    large = sizes.where(F.col("n") > local_rows)
-    if large.limit(1).count() == 0:
+    local = keyed.where(F.col("n") <= local_rows).drop("n").groupBy(*KEYS).applyInPandas(run, schema)
+    if sizes.where(F.col("n") > local_rows).isEmpty():
         return local
-    out = []
-    for r in large.collect():  # one row per pair
-        mine = materialise(full.where((F.col("specimen") == F.lit(r["specimen"])) & (F.col("response_id") == F.lit(r["response_id"]))), "pair")
-        out.append(_profile_in_rounds((r["specimen"], r["response_id"]), mine, r["n"]))
+    rows = materialise(keyed.where(F.col("n") > local_rows).withColumn("grp", F.to_json(F.struct(*KEYS))), "large")
+    heads = rows.groupBy("grp", *KEYS).agg(F.first("ells").alias("ells"), F.first(F.size("base")).alias("p"), F.count("*").alias("n"))
+    # one row per large fit; all of them advance in the same jobs, so their number does not add to the jobs
+    steps = {r["grp"]: _profile_steps((r["specimen"], r["response_id"]), r["ells"], r["p"], r["n"]) for r in heads.collect()}
+    asked, out = {g: next(s) for g, s in steps.items()}, []
+    while asked:
+        sums, following = _summed(rows, asked), {}
+        for g in asked:
+            try:
+                following[g] = steps[g].send(sums[g])
+            except StopIteration as done:
+                out.append(done.value)
+        asked = following
     return local.unionByName(data.sparkSession.createDataFrame(out, schema))
 
 
@@ -69,30 +77,30 @@ def _report(key, ells, fits, null, dispersion, n):
             "dispersion": float(dispersion), "amplitude": float(fits[best][0][-1]), "n": int(n), "loglik_null": float(null)}
 
 
-def _summed(rows: DataFrame, per_batch) -> np.ndarray:
-    """Add up one vector per batch of rows; only vectors leave the executors."""
+def _summed(rows: DataFrame, asked: dict) -> dict[str, np.ndarray]:
+    """Add up one vector per group and batch of rows, as ``asked`` of each group; only vectors leave the executors."""
 
     def run(frames):
-        total = None
+        total = {}
         for pdf in frames:
-            if len(pdf):
-                part = np.asarray(per_batch(
-                    pdf["y"].to_numpy(), pdf["offset"].to_numpy(), np.stack(pdf["base"]), np.stack(pdf["h"])), dtype=float)
-                total = part if total is None else total + part
-        if total is not None:
-            yield pd.DataFrame({"at": np.arange(len(total)), "v": total})
+            for g, part in pdf.groupby("grp"):
+                if g in asked:
+                    v = np.asarray(asked[g](
+                        part["y"].to_numpy(), part["offset"].to_numpy(), np.stack(part["base"]), np.stack(part["h"])), dtype=float)
+                    total[g] = v if g not in total else total[g] + v
+        for g, v in total.items():
+            yield pd.DataFrame({"grp": g, "at": np.arange(len(v)), "v": v})
 
-    parts = rows.mapInPandas(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).orderBy("at")
-    return parts.toPandas()["v"].to_numpy()
+    parts = rows.select("grp", "y", "offset", "base", "h").mapInPandas(run, "grp string, at int, v double").groupBy("grp", "at").agg(F.sum("v").alias("v"))
+    return {g: part.sort_values("at")["v"].to_numpy() for g, part in parts.toPandas().groupby("grp")}
 
 
-def _profile_in_rounds(key, rows: DataFrame, n: int) -> dict:
-    head = rows.select("ells", F.size("base").alias("p")).first()
-    ells, p = head["ells"], head["p"]
+def _profile_steps(key, ells, p: int, n: int):
+    """Yields what to sum over the rows of one fit, is sent the sums, and returns the fit's report."""
     k = len(ells)
-    first = _summed(rows, lambda y, o, b, h: [y.sum(), o.sum(), *h.sum(axis=0)])
+    first = yield lambda y, o, b, h: [y.sum(), o.sum(), *h.sum(axis=0)]
     mean_y, mean_o, center = first[0] / n, first[1] / n, first[2:] / n
-    spread = np.sqrt(_summed(rows, lambda y, o, b, h: ((h - center) ** 2).sum(axis=0)) / n)
+    spread = np.sqrt((yield lambda y, o, b, h: ((h - center) ** 2).sum(axis=0)) / n)
     spread = np.maximum(spread, 1e-12)
 
     def designs(b, h, which):
@@ -113,7 +121,7 @@ def _profile_in_rounds(key, rows: DataFrame, n: int) -> dict:
                     parts += [hessian.ravel(), target]
                 return np.concatenate(parts)
 
-            flat, at, active = _summed(rows, sums), 0, []
+            flat, at, active = (yield sums), 0, []
             for j in todo:
                 w = len(beta[j])
                 beta[j], finished = advance(beta[j], (flat[at:at + w * w].reshape(w, w), flat[at + w * w:at + w * w + w]))
@@ -122,10 +130,9 @@ def _profile_in_rounds(key, rows: DataFrame, n: int) -> dict:
                     active.append(j)
         return beta
 
-    start = fitted([-1], 0.0)[-1]
-    dispersion = dispersion_from(_summed(rows, lambda y, o, b, h: moment_sums(y, b, o, start)))
-    every = {**fitted([-1], dispersion), **fitted(list(range(k)), dispersion)}
+    start = (yield from fitted([-1], 0.0))[-1]
+    dispersion = dispersion_from((yield lambda y, o, b, h: moment_sums(y, b, o, start)))
+    every = yield from fitted([-1, *range(k)], dispersion)
     which = [-1, *range(k)]
-    logliks = _summed(rows, lambda y, o, b, h: [
-        log_likelihood(y, x, o, every[j], dispersion) for j, x in zip(which, designs(b, h, which))])
+    logliks = yield lambda y, o, b, h: [log_likelihood(y, x, o, every[j], dispersion) for j, x in zip(which, designs(b, h, which))]
     return _report(key, ells, [(every[j], logliks[j + 1]) for j in range(k)], logliks[0], dispersion, n)

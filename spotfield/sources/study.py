@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import geometry, histology, mesh, molecular, projection, transport
-from ..runtime import materialise, ship_package
+from ..runtime import materialise, release, ship_package
 
 PIXEL_UM = 4.0
 IMAGE_ROWS, IMAGE_COLS = 150, 100
@@ -142,6 +142,11 @@ class Study:
     def mesh(self) -> mesh.Mesh:
         return mesh.build(self.tissue, self.extent, MESH_UM)
 
+    @cached_property
+    def fine_mesh(self) -> mesh.Mesh:
+        """At the default spacing."""
+        return mesh.build(self.tissue, self.extent)
+
     @cached_property
     def nodes(self) -> DataFrame:
         return materialise(mesh.nodes(self.mesh), "nodes")
@@ -168,6 +173,15 @@ class Study:
     def load(self) -> DataFrame:
         return projection.deposit(self.weights, self.ligand_scores.withColumnRenamed("complex_id", "pair_id"), "score", ["pair_id"])
 
+    @cached_property
+    def secreted(self) -> DataFrame:
+        """Exposure of every observation to every pair at every trusted range."""
+        from ..plans import flows
+
+        grid = materialise(flows.range_grid(self.mesh.frame, self.specimens, self.diameters), "grid")
+        scores = self.ligand_scores.withColumnRenamed("complex_id", "response_id")
+        return materialise(flows.secreted_exposures(scores, self.weights, self.nodes, self.entries, grid, ["response_id"]), "exposures")
+
     @property
     def embedding_points(self) -> DataFrame:
         """Embedding vectors as observations: first two coordinates, label as component."""
@@ -200,6 +214,8 @@ def open_study(spark: SparkSession, sf_dir: str) -> Study:
     return _OPEN[key]
 
 
-def close_studies() -> None:
-    """Forget written stage tables, so that the next use starts from the source."""
+def close_studies(spark: SparkSession | None = None) -> None:
+    """Forget stage tables, so that the next use starts from the source; with a session, delete what it wrote."""
     _OPEN.clear()
+    if spark is not None:
+        release(spark)
