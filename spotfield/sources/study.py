@@ -22,7 +22,7 @@ PIXEL_UM = 4.0
 IMAGE_ROWS, IMAGE_COLS = 150, 100
 PIXELS_PER_SPECIMEN = IMAGE_ROWS * IMAGE_COLS
 OBS_PER_SPECIMEN = PIXELS_PER_SPECIMEN // 10
-MESH_UM = 8.0
+MESH_UM = 4.0
 SPOT_UM = 10.0
 EDGE_TOLERANCE_UM = 6.0
 MEDIAN_NN_UM = 10.0
