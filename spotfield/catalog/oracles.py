@@ -574,3 +574,22 @@ SELECT o.specimen, o.complex_id, o.obs_id, {r6('coalesce(h, 0e0)')} AS h FROM (S
     AND sqrt(pow(p.x_um - q.x_um, 2) + pow(p.y_um - q.y_um, 2)) <= {d(S.CONTACT_RADIUS_FACTOR * MEDIAN_NN_UM + 1e-9)}
   LEFT JOIN scores s ON s.obs_id = q.obs_id AND s.complex_id = p.complex_id GROUP BY ALL) t ON t.obs_id = o.obs_id AND t.complex_id = o.complex_id""", "obs", "scores"),
 }
+
+# Greedy order, one point a step: squared distances to the points picked so far travel along as a list.
+_ORDER = """WITH RECURSIVE e AS MATERIALIZED (
+  SELECT vec_id AS obs_id, 1e3 * embedding[1]::DOUBLE AS x, 1e3 * embedding[2]::DOUBLE AS y FROM embeddings),
+l AS MATERIALIZED (SELECT list(obs_id ORDER BY obs_id) AS ids, list(x ORDER BY obs_id) AS xs, list(y ORDER BY obs_id) AS ys, count(*) AS n, avg(x) AS mx, avg(y) AS my FROM e),
+c AS MATERIALIZED (SELECT *, list_transform(range(1, n + 1), lambda i: pow(xs[i] - mx, 2) + pow(ys[i] - my, 2)) AS centre FROM l),
+o(pos, pick, scale, near) AS (
+  SELECT CAST(0 AS BIGINT), CAST(list_position(centre, list_min(centre)) AS BIGINT), -1e0, list_transform(range(1, n + 1), lambda i: CAST('infinity' AS DOUBLE)) FROM c
+  UNION ALL
+  SELECT pos + 1, CAST(list_position(upd, list_max(upd)) AS BIGINT), list_max(upd), upd FROM (
+    SELECT pos, n, list_transform(range(1, n + 1), lambda i: CASE WHEN i = pick THEN -1e0
+      ELSE least(near[i], pow(xs[i] - xs[pick], 2) + pow(ys[i] - ys[pick], 2)) END) AS upd FROM o, c) WHERE pos + 1 < n),
+p AS MATERIALIZED (SELECT ids[pick] AS obs_id, pos, scale, xs[pick] AS x, ys[pick] AS y FROM o, c)
+"""
+ORACLES["maximin_order"] = _ORDER + f"SELECT obs_id, pos, {r6('scale')} AS scale FROM p"
+ORACLES["neighbour_sets"] = ORACLES["neighbour_sets_in_rounds"] = _ORDER + f"""
+SELECT obs_id, neighbour FROM (
+  SELECT a.obs_id, b.obs_id AS neighbour, row_number() OVER (PARTITION BY a.obs_id ORDER BY pow(b.x - a.x, 2) + pow(b.y - a.y, 2), b.pos) AS k
+  FROM p a JOIN p b ON b.pos < a.pos) WHERE k <= {S.NEIGHBOURS}"""

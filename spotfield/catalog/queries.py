@@ -583,9 +583,27 @@ def bootstrap_p(s: Study):
 
 @registered
 def maximin_order(s: Study):
+    return _order(s).select("obs_id", "pos", r6(F.when(F.col("pos") == 0, -1.0).otherwise(F.col("scale"))).alias("scale"))
+
+
+def _order(s: Study):
     return ordering.maximin_order(s.embedding_points)
 
 
+@registered
+def neighbour_sets(s: Study):
+    near = ordering.earlier_neighbours(_order(s))
+    return near.select("obs_id", F.explode("near").alias("nb")).select("obs_id", F.col("nb.obs_id").alias("neighbour"))
+
+
+@registered
+def neighbour_sets_in_rounds(s: Study):
+    """The same order and sets by the way that takes points of any number."""
+    points = s.embedding_points
+    near = ordering.earlier_neighbours(ordering.maximin_order(points, local_points=100), local_points=100)
+    return near.select("obs_id", F.explode("near").alias("nb")).select("obs_id", F.col("nb.obs_id").alias("neighbour"))
+
+
 @registered
 def vecchia_factor(s: Study):
     near = ordering.earlier_neighbours(ordering.maximin_order(s.embedding_points))
