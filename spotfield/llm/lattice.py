@@ -33,7 +33,7 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
-from math import exp, inf, log, log1p
+from math import exp, inf, log
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,7 @@ from .common import held_out, materialise, ship_package
 MARK = "▁"
 PARTS, HELD_PART = 7, 2
 FREQUENT, ROUNDS, FLOOR = 200_000, 2, 0.01
+SHORT = 40  # characters of a marked word up to which expectations are taken without logarithms
 FLUSH = 400_000  # distinct words a task counts before it hands them on
 LN10 = log(10.0)
 
@@ -65,40 +66,55 @@ def vocabulary(model: bytes) -> list[str]:
 class Lattice:
     def __init__(self, pieces: list[str], weights: np.ndarray):
         """``weights``: log probabilities of the pieces and the 256 bytes."""
-        self.weights = weights.tolist()
         self.bytes_at = len(pieces)
+        self.byte_weights = weights[len(pieces):].tolist()
+        self.single: dict[str, tuple[float, float]] = {}
         self.trie: dict = {}
-        for i, piece in enumerate(pieces):
+        for i, (piece, w) in enumerate(zip(pieces, weights.tolist())):
             node = self.trie
             for c in piece:
                 node = node.setdefault(c, {})
-            node[""] = i
+            node[""] = i, w, exp(w)
 
-    def edges(self, text: str) -> list[list[tuple[int, int, float]]]:
-        """Of each place: (place after, piece, weight) of every piece that starts there; a character's bytes count as one."""
-        out, n, trie, weights = [], len(text), self.trie, self.weights
+    def _spelled(self, c: str) -> tuple[float, float]:
+        w = sum([self.byte_weights[b] for b in c.encode()])
+        if len(self.single) < 1 << 16:
+            self.single[c] = w, exp(w)
+        return w, exp(w)
+
+    def edges(self, text: str, plain: bool = False) -> list[list[tuple[int, int, float]]]:
+        """Of each place: (place after, piece, log or plain weight) of every piece that starts there; -1 is a character's bytes."""
+        out, n, trie, single, kind = [], len(text), self.trie, self.single, 2 if plain else 1
         for i in range(n):
-            here = []
-            node = trie
-            for j in range(i, n):
-                node = node.get(text[j])
-                if node is None:
+            c = text[i]
+            here = [(i + 1, -1, (single.get(c) or self._spelled(c))[kind - 1])]
+            node, j = trie.get(c), i + 1
+            while node is not None:
+                found = node.get("")
+                if found is not None:
+                    here.append((j, found[0], found[kind]))
+                if j == n:
                     break
-                piece = node.get("")
-                if piece is not None:
-                    here.append((j + 1, piece, weights[piece]))
-            here.append((i + 1, -1, sum(weights[self.bytes_at + b] for b in text[i].encode())))
+                node = node.get(text[j])
+                j += 1
             out.append(here)
         return out
 
     @staticmethod
     def forward(edges) -> list[float]:
-        total = [0.0] + [-inf] * len(edges)
-        for i, here in enumerate(edges):
-            a = total[i]
+        """Logarithm of the sum over all ways to each place."""
+        into: list[list[float]] = [[] for _ in range(len(edges) + 1)]
+        into[0].append(0.0)
+        total = []
+        for ways, here in zip(into, [*edges, ()]):
+            if len(ways) == 1:
+                a = ways[0]
+            else:
+                top = max(ways)
+                a = top + log(sum([exp(w - top) for w in ways]))
+            total.append(a)
             for j, _, w in here:
-                x, b = a + w, total[j]
-                total[j] = b + log1p(exp(x - b)) if b > x else x + log1p(exp(b - x))
+                into[j].append(a + w)
         return total
 
     def log_probability(self, word: str) -> float:
@@ -108,6 +124,25 @@ class Lattice:
     def expect(self, word: str, counts: list[float]) -> None:
         """Adds the expected number of each piece over all segmentations."""
         text = MARK + word
+        if len(text) <= SHORT:  # plain products of so few weights do not vanish
+            edges = self.edges(text, True)
+            n = len(edges)
+            before, after = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+            for i in range(n):
+                a = before[i]
+                for j, _, w in edges[i]:
+                    before[j] += a * w
+            for i in range(n - 1, -1, -1):
+                after[i] = sum([w * after[j] for j, _, w in edges[i]])
+            whole = 1 / before[n]
+            for i in range(n):
+                a = before[i] * whole
+                for j, piece, w in edges[i]:
+                    if piece >= 0:
+                        counts[piece] += a * w * after[j]
+                    else:
+                        self._count_bytes(text[i], a * w * after[j], counts)
+            return
         edges = self.edges(text)
         before = self.forward(edges)
         n = len(edges)
@@ -116,16 +151,18 @@ class Lattice:
             parts = [w + after[j] for j, _, w in edges[i]]
             top = max(parts)
             after[i] = top + log(sum([exp(p - top) for p in parts]))
-        whole = before[n]
         for i, here in enumerate(edges):
-            a = before[i] - whole
+            a = before[i] - before[n]
             for j, piece, w in here:
                 share = exp(a + w + after[j])
                 if piece >= 0:
                     counts[piece] += share
                 else:
-                    for b in text[i].encode():
-                        counts[self.bytes_at + b] += share
+                    self._count_bytes(text[i], share, counts)
+
+    def _count_bytes(self, c: str, share: float, counts: list[float]) -> None:
+        for b in c.encode():
+            counts[self.bytes_at + b] += share
 
 
 def count_words(docs: DataFrame) -> DataFrame:
