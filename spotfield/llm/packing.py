@@ -33,10 +33,10 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, ship_package
+from .common import Remembered, loaded, materialise, ship_package
 
 CAPACITY, END = 2048, 1
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 GAP, WASTE, CALM = 2e-3, 0.02, 0.9
 RANKED = 200_000  # pieces of a class ranked by one task
 # a space between two characters that are no white space always starts a new word
@@ -65,16 +65,7 @@ class Tokens:
             raise ValueError("ids do not follow the order of merges")
         self.coder = tiktoken.Encoding("byte_level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self.special = set(special)
-        encode = self._encode
-
-        class Known(dict):
-            def __missing__(self, word):
-                if len(self) >= REMEMBERED:
-                    self.clear()
-                self[word] = ids = encode(" " + word)
-                return ids
-
-        self.known = Known()
+        self.known = Remembered(lambda word: self._encode(" " + word), REMEMBERED)
 
     def _encode(self, text: str) -> bytes:
         ids = array("I", self.coder.encode(text, allowed_special=self.special, disallowed_special=()))
@@ -99,7 +90,7 @@ def measured(docs: DataFrame, vocabulary: bytes, capacity: int, end: int) -> Dat
         return [crc32(ids[i:i + 4 * step]) for i in range(start, len(ids), 4 * step)]
 
     def run(batches):
-        tokens = Tokens(shared.value)
+        tokens = loaded(Tokens, shared.value)
         for batch in batches:
             n, full, rest = [], [], []
             for text in batch.column(1).to_pylist():
