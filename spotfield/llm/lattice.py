@@ -17,7 +17,7 @@ therefore fitted on distinct words.  All probabilities sum to one.
 * Weights: all pieces start equal; each round of expectation maximisation goes
   over the whole table of words, and only sums per piece, of fixed number,
   reach the driver.  Two rounds follow one another, a scan of the table each.
-* Scoring: the ``FREQUENT`` most frequent words go to every task; any other
+* Scoring: the most frequent words, ``FREQUENT`` at most, go to every task; any other
   word of a document is looked up by a join, so a word is known if and only if
   it occurs in training, however rare.  A word's lattice is summed once where
   the rows of that word meet.
@@ -239,7 +239,15 @@ def score(docs: DataFrame, model: bytes) -> DataFrame:
                 out.append(value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "w"])
 
-    frequent = words.orderBy(F.desc("c"), "word").limit(FREQUENT).repartition(max(1, spark.sparkContext.defaultParallelism))
+    # the words above a count, which is chosen on a histogram of fixed size so that they are FREQUENT at most
+    step = F.floor(F.log2(c) * 8)
+    room_left, least = FREQUENT, None
+    for r in sorted(words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        room_left -= r.n
+        if room_left < 0:
+            break
+        least = r.step
+    frequent = words.where(step >= least) if least is not None else words.limit(0)
     top = {bytes(r.word): (log(r.c + 1) - room, log((r.c - discount) / exp(all_mass) + exp(r.w + spelled))) for r in frequent.mapInArrow(weigh, "word binary, c long, w double").collect()}
     known = spark.sparkContext.broadcast(top)  # FREQUENT words at most
     end_base = log(ends + 1) - room
