@@ -24,6 +24,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# length of an account number by country
+LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG YE", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR",
+    27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA",
+    30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _account(length: int, countries: str) -> str:
+    groups, rest = divmod(length - 4, 4)
+    return f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]{{4}}){{{groups}}}" + (f"\\x20?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+# a token may follow, so the country tells where the number ends; other codes go on, up to a space before such a number
+KNOWN = f"(?:{'|'.join(_account(n, c) for n, c in LENGTHS.items())})(?![A-Za-z0-9])"
+OTHER = rf"[A-Z]{{2}}[0-9]{{2}}(?:(?:\x20(?!{KNOWN}))?[A-Z0-9]{{4}}){{2,7}}(?:(?:\x20(?!{KNOWN}))?[A-Z0-9]{{1,3}})?"
+
 # fixed values: the kinds in their order, and the pattern of each
 KINDS = ("email", "ip", "card", "phone", "iban")
 BASE = KINDS[:4]
@@ -32,7 +50,7 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?",
+    "iban": f"(?:{KNOWN}|{OTHER})",
 }
 # a text without a match of this cannot have one of the pattern
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "iban": r"[A-Z][0-9]{2}"}
