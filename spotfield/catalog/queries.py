@@ -561,6 +561,7 @@ def gls_fit(s: Study):
 
 @registered
 def covariance_fit(s: Study):
+    """One n x n matrix a label in one task: for labels of some thousand observations at most, see the README."""
     return _embedding_fit(s, "dense")
 
 
