@@ -525,6 +525,7 @@ def mass_solve(s: Study):
 
 @registered
 def matern_pairs(s: Study):
+    """Entries within 60 um only; those beyond are not zero (0.20 at the radius), so this is not the covariance."""
     return association.covariance_pairs(s.embedding_points, 40.0, 0.25, 60.0).select("obs_i", "obs_j", r6("covariance").alias("covariance"))
 
 
