@@ -75,4 +75,22 @@ SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
-ORACLES = {"op1_warc": OP1, "op4_topk": OP4, "op5_pii": OP5, "op6_exact_dedup": OP6}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM benchmark),
+n AS (SELECT item_id, w, least(len(w), 10) AS k FROM b WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS words FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM n)),
+grams AS (SELECT row, i, k, array_to_string(w[i:i + k - 1], ' ') AS words FROM (
+  SELECT row, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)),
+hits AS (SELECT row, i, g.k, item_id FROM grams g JOIN windows v ON g.k = v.k AND g.words = v.words),
+hit_words AS (SELECT row, count(DISTINCT at) AS n_hit FROM (SELECT row, unnest(range(i, i + k)) AS at FROM hits) GROUP BY row),
+items AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (
+  SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY row)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit_words USING (row) LEFT JOIN items USING (row)
+"""
+
+ORACLES = {"op1_warc": OP1, "op4_topk": OP4, "op5_pii": OP5, "op6_exact_dedup": OP6, "op11_wumanber": OP11}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lattice, packing, pieces, pii, quality, simhash, topk, toxicity, warc
+from . import decontaminate, exact_dedup, lattice, packing, pieces, pii, quality, simhash, topk, toxicity, warc
 from .common import table
 
 
@@ -54,4 +54,9 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_quality, op3_lattice, op4_topk, op5_pii, op6_exact_dedup, op7_simhash, op8_packing, op9_pieces, op10_toxicity)}
+def op11_wumanber(spark, sf_dir):
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality, op3_lattice, op4_topk, op5_pii, op6_exact_dedup, op7_simhash, op8_packing, op9_pieces, op10_toxicity,
+                                 op11_wumanber)}
