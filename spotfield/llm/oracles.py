@@ -85,7 +85,7 @@ windows AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS
 grams AS (SELECT row, i, k, array_to_string(w[i:i + k - 1], ' ') AS words FROM (
   SELECT row, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)),
 hits AS (SELECT row, i, g.k, item_id FROM grams g JOIN windows v ON g.k = v.k AND g.words = v.words),
-hit_words AS (SELECT row, count(DISTINCT at) AS n_hit FROM (SELECT row, unnest(range(i, i + k)) AS at FROM hits) GROUP BY row),
+hit_words AS (SELECT row, count(DISTINCT word) AS n_hit FROM (SELECT row, unnest(range(i, i + k)) AS word FROM hits) GROUP BY row),
 items AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (
   SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY row)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
@@ -93,4 +93,32 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN hit_words USING (row) LEFT JOIN items USING (row)
 """
 
-ORACLES = {"op1_warc": OP1, "op4_topk": OP4, "op5_pii": OP5, "op6_exact_dedup": OP6, "op11_wumanber": OP11}
+
+
+def _kmeans(k: int, rounds: int, dimension: int) -> str:
+    """Rounds of assignment and update, written out; comparisons go through exact whole numbers."""
+
+    def assigned(t: int) -> str:
+        return f"""d{t} AS MATERIALIZED (SELECT row, c, d FROM (SELECT row, c, d, row_number() OVER (PARTITION BY row ORDER BY d, c) AS turn FROM (
+  SELECT v.row, m.c, CAST(list_sum(list_transform(list_zip(v.cells, m.cells), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, c{t} m)) WHERE turn = 1)"""
+
+    parts = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor({256} * CAST(x AS DOUBLE)) AS BIGINT)) AS cells FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = {dimension} AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))))""",
+             f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY name, cells) - 1 AS c, cells FROM (
+  SELECT sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS name, cells FROM v ORDER BY name, cells LIMIT {k}))"""]
+    for t in range(rounds):
+        parts += [assigned(t), f"""c{t + 1} AS MATERIALIZED (SELECT m.c, coalesce(u.cells, m.cells) AS cells FROM c{t} m LEFT JOIN (
+  SELECT c, list((s - (s % n + n) % n) // n ORDER BY j) AS cells FROM (
+    SELECT c, j, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT d.c, unnest(range({dimension})) AS j, unnest(v.cells) AS x FROM d{t} d JOIN v ON d.row = v.row) GROUP BY c, j)
+  GROUP BY c) u ON m.c = u.c)"""]
+    parts.append(assigned(rounds))
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, CAST(d.c AS INT) AS cluster, d.d AS distance, CAST(sum(d.d) OVER (PARTITION BY d.c) AS BIGINT) AS cluster_inertia, CAST(sum(d.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(m.cells, ',')) AS centroid_sha256
+FROM d{rounds} d JOIN v ON d.row = v.row JOIN c{rounds} m ON d.c = m.c
+"""
+
+
+OP12 = _kmeans(40, 5, 64)
+
+ORACLES = {"op1_warc": OP1, "op4_topk": OP4, "op5_pii": OP5, "op6_exact_dedup": OP6, "op11_wumanber": OP11, "op12_centroids": OP12}

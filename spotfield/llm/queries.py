@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, lattice, packing, pieces, pii, quality, simhash, topk, toxicity, warc
+from . import centroids, decontaminate, exact_dedup, lattice, packing, pieces, pii, quality, simhash, topk, toxicity, warc
 from .common import table
 
 
@@ -58,5 +58,9 @@ def op11_wumanber(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_centroids(spark, sf_dir):
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_warc, op2_quality, op3_lattice, op4_topk, op5_pii, op6_exact_dedup, op7_simhash, op8_packing, op9_pieces, op10_toxicity,
-                                 op11_wumanber)}
+                                 op11_wumanber, op12_centroids)}
