@@ -121,4 +121,42 @@ FROM d{rounds} d JOIN v ON d.row = v.row JOIN c{rounds} m ON d.c = m.c
 
 OP12 = _kmeans(40, 5, 64)
 
-ORACLES = {"op1_warc": OP1, "op4_topk": OP4, "op5_pii": OP5, "op6_exact_dedup": OP6, "op11_wumanber": OP11, "op12_centroids": OP12}
+
+
+def _crc_table() -> list[int]:
+    table = []
+    for i in range(256):
+        for _ in range(8):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        table.append(i)
+    return table
+
+
+_BYTES = """flatten(list_transform(string_split({0}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)]
+  ELSE [192 + (unicode(c) >> 6), CAST(128 + (unicode(c) & 63) AS BIGINT)] END))"""
+_CRC = f"""xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {_BYTES}), lambda a, x: xor(a >> 8, CAST({_crc_table()}[1 + (xor(a, x) & 255)] AS BIGINT))), 4294967295)"""
+
+OP13 = f"""
+WITH r AS MATERIALIZED (SELECT doc_id, run, count(*) AS n FROM (
+  SELECT doc_id, {_LOWER.format("unnest(regexp_extract_all(text, '[A-Za-z\\x{C0}-\\x{FF}]+'))")} AS run FROM documents) WHERE length(run) >= 6 GROUP BY ALL),
+h AS (SELECT run, n, {_CRC.format("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM r),
+w AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+v AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) AS a, substr(word, i + 2) AS b FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+near AS (
+SELECT x.word, y.word AS near, y.n AS m FROM v x JOIN v y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+UNION SELECT x.word, y.word, y.n FROM v x JOIN w y ON x.a || x.b = y.word
+UNION SELECT y.word, x.word, x.n FROM v x JOIN w y ON x.a || x.b = y.word),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY m DESC, near) AS near, max(m) AS m FROM near GROUP BY word),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * w.n THEN near END AS form, CASE WHEN m >= 5 * w.n THEN m END AS form_n
+  FROM w LEFT JOIN best ON w.word = best.word),
+chain AS (
+  WITH RECURSIVE steps AS (
+    SELECT word, word AS root, 0 AS depth FROM f
+    UNION ALL SELECT s.word, f.form, depth + 1 FROM steps s JOIN f ON s.root = f.word WHERE f.form IS NOT NULL)
+  SELECT word, arg_max(root, depth) AS root FROM steps GROUP BY word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN chain ON f.word = chain.word
+"""
+
+ORACLES = {"op1_warc": OP1, "op4_topk": OP4, "op5_pii": OP5, "op6_exact_dedup": OP6, "op11_wumanber": OP11, "op12_centroids": OP12, "op13_variants": OP13}

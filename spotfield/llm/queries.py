@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import centroids, decontaminate, exact_dedup, lattice, packing, pieces, pii, quality, simhash, topk, toxicity, warc
+from . import centroids, decontaminate, exact_dedup, lattice, packing, pieces, pii, quality, simhash, spelling, topk, toxicity, warc
 from .common import table
 
 
@@ -62,5 +62,9 @@ def op12_centroids(spark, sf_dir):
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op13_variants(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_warc, op2_quality, op3_lattice, op4_topk, op5_pii, op6_exact_dedup, op7_simhash, op8_packing, op9_pieces, op10_toxicity,
-                                 op11_wumanber, op12_centroids)}
+                                 op11_wumanber, op12_centroids, op13_variants)}
