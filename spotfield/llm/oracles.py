@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .pii import LENGTHS
+
 OP6 = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
@@ -10,14 +12,14 @@ FROM d JOIN g ON d.t = g.t
 """
 
 
-def _spans(kind: str, no: int, pattern: str, good: str, base: bool = True) -> str:
+def _spans(kind: str, no: int, pattern: str, good: str, base: bool = True, text: str = "t") -> str:
     """Spans of one kind: gaps and matches of a pattern, positions as running sums of their lengths."""
     return f"""
 SELECT doc_id, {no} AS no, '{kind}' AS kind, {'true' if base else 'false'} AS base, s AS s, s + length(m) AS e FROM (
-  SELECT doc_id, i, m, gap, next_gap, CAST(sum(length(gap)) OVER w + coalesce(sum(length(m)) OVER v, 0) AS BIGINT) AS s FROM (
-    SELECT doc_id, i, m[i] AS m, g[i] AS gap, g[i + 1] AS next_gap FROM (
-      SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i FROM (
-        SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS g FROM d)))
+  SELECT doc_id, t, i, m, gap, next_gap, CAST(sum(length(gap)) OVER w + coalesce(sum(length(m)) OVER v, 0) AS BIGINT) AS s FROM (
+    SELECT doc_id, t, i, m[i] AS m, g[i] AS gap, g[i + 1] AS next_gap FROM (
+      SELECT doc_id, t, m, g, unnest(range(1, len(m) + 1)) AS i FROM (
+        SELECT doc_id, regexp_extract_all({text}, '{pattern}') AS m, string_split_regex({text}, '{pattern}') AS g, t FROM d)))
   WINDOW w AS (PARTITION BY doc_id ORDER BY i), v AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 WHERE {good}"""
 
@@ -26,24 +28,40 @@ _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
 _LUHN = f"""list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse({_DIGITS})[i] AS INT)
   WHEN CAST(reverse({_DIGITS})[i] AS INT) > 4 THEN 2 * CAST(reverse({_DIGITS})[i] AS INT) - 9 ELSE 2 * CAST(reverse({_DIGITS})[i] AS INT) END)) % 10 = 0"""
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-_NEAR = "lower(right(gap, 40) || ' ' || left(next_gap, 40))"
-_ACCOUNT = "replace(m, ' ', '')"
+# a marked text has the length of the original, from which the words around a span are taken
+_BEFORE, _AFTER = "substr(t, 1 + s - least(length(gap), 40), least(length(gap), 40))", "substr(t, 1 + s + length(m), least(length(next_gap), 40))"
+_NEAR = f"lower({_BEFORE} || ' ' || {_AFTER})"
+_ACCOUNT = "replace(replace(m, ' ', ''), chr(1), '')"
 # letters of an account number are numbers of two digits, marked by 1000
 _MOD97 = f"""list_reduce(list_prepend(0, list_transform(string_split({_ACCOUNT}[5:] || {_ACCOUNT}[:4], ''), lambda c: CASE WHEN ascii(c) >= 65
   THEN 1000 + ascii(c) - 55 ELSE ascii(c) - 48 END)), lambda a, c: CASE WHEN c >= 1000 THEN (a * 100 + c - 1000) % 97 ELSE (a * 10 + c) % 97 END) = 1"""
 
-_IBAN = f"""{_MOD97} AND NOT regexp_matches(right(gap, 1), '[A-Za-z0-9]') AND NOT regexp_matches(left(next_gap, 1), '[A-Za-z0-9]')
+_IBAN = f"""{_MOD97} AND NOT regexp_matches(right({_BEFORE}, 1), '[A-Za-z0-9]') AND NOT regexp_matches(left({_AFTER}, 1), '[A-Za-z0-9]')
   AND (regexp_matches({_NEAR}, '\\b(iban|account|bank|bic|swift|transfer|konto|compte|cuenta)\\b')
     OR NOT regexp_matches({_NEAR}, '\\b(serial|sku|hash|part|model|token)\\b'))"""
 
+
+def _known(length: int, countries: str) -> str:
+    groups, rest = divmod(length - 4, 4)
+    return f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:[ \\x01]?[A-Z0-9]{{4}}){{{groups}}}" + (f"[ \\x01]?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+# there is no look-ahead: "_" becomes "~", so that a word boundary is the end of letters and digits, and a space before a number of a known
+# country becomes chr(1), which numbers of other countries do not go across; numbers within numbers take further turns
+_KNOWN = f"(?:{'|'.join(_known(n, c) for n, c in LENGTHS.items())})\\b"
+_ANY = f"(?:{_KNOWN}|[A-Z][A-Z][0-9][0-9](?: ?[A-Z0-9][A-Z0-9][A-Z0-9][A-Z0-9]){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)"
+_MARKED = "replace(coalesce(text, ''), '_', '~')"
+for _ in range(4):
+    _MARKED = f"regexp_replace({_MARKED}, ' ({_KNOWN})', chr(1) || '\\1', 'g')"
+
 OP5 = f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_MARKED} AS marked FROM documents),
 spans AS (
 {_spans('email', 0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+', 'true')}
 UNION ALL {_spans('ip', 1, '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+', f"regexp_full_match(m, '{_OCTET}(?:[.]{_OCTET}){{3}}')")}
 UNION ALL {_spans('card', 2, '[0-9](?:[ -]?[0-9])+', f"length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}")}
 UNION ALL {_spans('phone', 3, '[+][0-9][ ().0-9-]+[0-9]', f"length({_DIGITS}) BETWEEN 10 AND 15")}
-UNION ALL {_spans('iban', 4, '[A-Z][A-Z][0-9][0-9](?: ?[A-Z0-9][A-Z0-9][A-Z0-9][A-Z0-9]){2,7}(?: ?[A-Z0-9]{1,3})?', _IBAN, False)}
+UNION ALL {_spans('iban', 4, _ANY, _IBAN, False, 'marked')}
 ),
 by_doc AS (
 SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card,

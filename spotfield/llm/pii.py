@@ -7,7 +7,11 @@ after the words around them have been weighed.
 
 Everything is a column expression.  ``regexp_extract_all`` gives the matches
 and ``split`` by the same pattern the gaps between them; running sums of
-their lengths are the positions, in code points, in one pass over a text.
+their lengths are the positions, in code points.  Sums run within blocks of
+``BLOCK`` matches, which keep only confirmed spans, and then over the blocks, so a
+long text with very many matches takes time in proportion to them.  Redaction cuts
+a text into stretches of ``STRETCH`` code points once and takes what lies between
+spans from these.
 
 Patterns are the plain ones below, written so that Java's matcher stays linear:
 possessive repeats where nothing could be given back, and a start only where
@@ -15,8 +19,9 @@ the previous match ended or a run of the class begins, as a match further
 inside a run implies one from its start.
 
 Defined cases: a null text counts as empty and has no spans; every row gives
-one row, repeated ids and null ids included; other columns are ignored, or
-carried along by ``redact``.
+one row, repeated ids and null ids included; an empty table gives an empty
+result; texts are taken whole, whatever their length; other columns are ignored,
+or carried along by ``redact``, also where they are named like its own.
 """
 
 from __future__ import annotations
@@ -65,6 +70,9 @@ NEARBY = {
 }
 INSIDE = "[A-Za-z0-9]"  # an added span does not begin or end inside a word
 RAISE, LOWER, THRESHOLD, REACH = 0.2, 0.3, 0.5, 40
+BLOCK = 256     # matches in one running sum
+STRETCH = 1024  # code points
+SPANS = "array<struct<start:int,kind_no:int,end:int,kind:string,value:string,score:double>>"
 
 
 def _digits(c: Column) -> Column:
@@ -107,8 +115,8 @@ def confirmed(kind: str, value: Column) -> Column:
     return F.when(right_length, luhn(digits)).otherwise(False) if kind == "card" else right_length
 
 
-def _spans_of(kind: str, text: Column, found: Column, gaps: Column) -> Column:
-    """array<struct<start, kind_no, end, kind, value, score, whole>>"""
+def _blocks_of(kind: str, found: Column, gaps: Column) -> Column:
+    """array<struct<pos, out>> by block of matches: the block's length in code points, and its confirmed spans counted from its start."""
     good, bad = NEARBY[kind]
 
     def step(acc, i):
@@ -117,18 +125,42 @@ def _spans_of(kind: str, text: Column, found: Column, gaps: Column) -> Column:
         end = start + F.char_length(value)
         around = F.lower(F.concat(F.substring(gap, -REACH, REACH), F.lit(" "), F.substring(F.get(gaps, i + 1), 1, REACH)))
         score = F.lit(PRIOR[kind]) + F.when(around.rlike(good), RAISE).otherwise(0.0) - F.when(around.rlike(bad), LOWER).otherwise(0.0)
-        span = F.struct(
-            start.alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), end.alias("end"), F.lit(kind).alias("kind"), value.alias("value"),
-            score.alias("score"), (~F.substring(gap, -1, 1).rlike(INSIDE) & ~F.substring(F.get(gaps, i + 1), 1, 1).rlike(INSIDE)).alias("whole"))
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
+        holds = confirmed(kind, value)
+        if kind not in BASE:
+            whole = ~F.substring(gap, -1, 1).rlike(INSIDE) & ~F.substring(F.get(gaps, i + 1), 1, 1).rlike(INSIDE)
+            holds = holds & whole & (score >= THRESHOLD)
+        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), end.alias("end"), F.lit(kind).alias("kind"), value.alias("value"), score.alias("score"))
+        return F.struct(end.alias("pos"), F.when(holds, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    none = F.expr("cast(array() as array<struct<start:int,kind_no:int,end:int,kind:string,value:string,score:double,whole:boolean>>)")
-    zero = F.struct(F.lit(0).alias("pos"), none.alias("out"))
-    all_found = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step, lambda acc: acc["out"])
-    kept = F.filter(all_found, lambda s: confirmed(kind, s["value"]))
-    if kind not in BASE:
-        kept = F.filter(kept, lambda s: s["whole"] & (s["score"] >= THRESHOLD))
-    return F.when(F.size(found) > 0, kept).otherwise(none)
+    zero = F.struct(F.lit(0).alias("pos"), F.expr(f"cast(array() as {SPANS})").alias("out"))
+
+    def block(b):
+        return F.aggregate(F.sequence(b * BLOCK, F.least((b + 1) * BLOCK, F.size(found)) - 1), zero, step)
+
+    none = F.expr(f"cast(array() as array<struct<pos:int,out:{SPANS}>>)")
+    last = F.floor((F.size(found) - 1) / BLOCK).cast("int")
+    return F.when(F.size(found) > 0, F.transform(F.sequence(F.lit(0), last), block)).otherwise(none)
+
+
+def _running(values: Column, first, join) -> Column:
+    """array: for each value the ``join`` of ``first`` and all values before it, by blocks."""
+
+    def onward(acc, v):
+        return F.struct(join(acc["now"], v).alias("now"), F.concat(acc["out"], F.array(acc["now"])).alias("out"))
+
+    def within(b):
+        zero = F.struct(F.lit(first).alias("now"), F.expr("cast(array() as array<int>)").alias("out"))
+        return F.aggregate(F.slice(values, b * BLOCK + 1, F.lit(BLOCK)), zero, onward)
+
+    last = F.floor((F.size(values) - 1) / BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), within)
+
+    def over(acc, b):
+        shifted = F.transform(b["out"], lambda v: join(acc["now"], v))
+        return F.struct(join(acc["now"], b["now"]).alias("now"), F.concat(acc["out"], F.array(shifted)).alias("out"))
+
+    zero = F.struct(F.lit(first).alias("now"), F.expr("cast(array() as array<array<int>>)").alias("out"))
+    return F.flatten(F.aggregate(blocks, zero, over)["out"])
 
 
 def with_spans(docs: DataFrame, kinds=KINDS) -> DataFrame:
@@ -142,7 +174,16 @@ def with_spans(docs: DataFrame, kinds=KINDS) -> DataFrame:
     for k in kinds:
         out = out.withColumn(f"g_{k}", F.when(F.size(f"m_{k}") > 0, F.split("body", PATTERNS[k], -1)).otherwise(empty))
     for k in kinds:
-        out = out.withColumn(f"s_{k}", _spans_of(k, F.col("body"), F.col(f"m_{k}"), F.col(f"g_{k}")))
+        out = out.withColumn(f"b_{k}", _blocks_of(k, F.col(f"m_{k}"), F.col(f"g_{k}")))
+
+    def moved(block, by):
+        return F.transform(block["out"], lambda s: F.struct(
+            (s["start"] + by).alias("start"), s["kind_no"].alias("kind_no"), (s["end"] + by).alias("end"), s["kind"].alias("kind"), s["value"].alias("value"), s["score"].alias("score")))
+
+    for k in kinds:
+        blocks = F.col(f"b_{k}")
+        starts = _running(F.transform(blocks, lambda b: b["pos"]), 0, lambda a, b: a + b)
+        out = out.withColumn(f"s_{k}", F.when(F.size(blocks) > 0, F.flatten(F.zip_with(blocks, starts, moved))).otherwise(F.expr(f"cast(array() as {SPANS})")))
     return out.select("doc", "body", F.sort_array(F.concat(*[F.col(f"s_{k}") for k in kinds])).alias("spans"))
 
 
@@ -169,26 +210,32 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     found = with_spans(docs)
 
-    def merge(acc, s):
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
-            last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))))
-        apart = F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-        return F.when(F.size(acc) == 0, apart).when(s["start"] < last["end"], joined).otherwise(apart)
-
-    none = F.expr("cast(array() as array<struct<start:int,end:int,kind:string>>)")
-    out = found.withColumn("cuts", F.aggregate("spans", none, merge))
-    body, cuts = F.col("body"), F.col("cuts")
-
-    def piece(cut, i):
-        before = F.when(i == 0, F.lit(0)).otherwise(F.get(cuts, i - 1)["end"])
-        return F.concat(F.substring(body, before + 1, cut["start"] - before), F.lit("["), F.upper(cut["kind"]), F.lit("]"))
-
-    tail = F.substring(body, F.element_at(cuts, -1)["end"] + 1, F.lit((1 << 31) - 1))
-    clean = F.when(F.size(cuts) > 0, F.concat(F.array_join(F.transform(cuts, piece), ""), tail)).otherwise(F.col("doc.text"))
+    some = F.size("spans") > 0
+    none = F.expr("cast(array() as array<int>)")
+    # where the text before a span has been used up to: the largest end so far
+    used = F.when(some, _running(F.transform("spans", lambda s: s["end"]), 0, F.greatest)).otherwise(none)
+    stretches = F.when(some, F.regexp_extract_all("body", F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))).otherwise(F.expr("cast(array() as array<string>)"))
+    out = found.withColumn("used", used).withColumn("stretches", stretches)
+
+    def between(a, b):
+        """Code points from ``a`` to before ``b``."""
+        first, last = F.floor(a / STRETCH).cast("int"), F.floor(b / STRETCH).cast("int")
+        within = F.substring(F.get("stretches", first), a % STRETCH + 1, b - a)
+        head = F.substring(F.get("stretches", first), a % STRETCH + 1, F.lit(STRETCH))
+        tail = F.when(b % STRETCH == 0, "").otherwise(F.substring(F.get("stretches", last), F.lit(1), b % STRETCH))
+        across = F.concat(head, F.array_join(F.slice("stretches", first + 2, last - first - 1), ""), tail)
+        return F.when(a >= b, "").when(first == last, within).otherwise(across)
+
+    def piece(s, before):
+        kept = F.concat(between(before, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        return F.when(s["start"] >= before, kept).otherwise("")  # a span that overlaps one before it is part of it
+
+    end = F.greatest(F.element_at("used", -1), F.element_at("spans", -1)["end"])
+    pieces = F.array_join(F.zip_with("spans", "used", piece), "")
+    clean = F.when(some, F.concat(pieces, between(end, F.char_length("body")))).otherwise(F.col("doc.text"))
     out = out.withColumn("clean", clean)
     new = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
-        new["n_chars"] = F.when(F.size("cuts") > 0, F.char_length("clean").cast(kind)).otherwise(F.col("doc.n_chars"))
+        new["n_chars"] = F.when(some, F.char_length("clean").cast(kind)).otherwise(F.col("doc.n_chars"))
     return out.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
