@@ -1,10 +1,9 @@
-"""Conjugate gradients on one mesh component (bounded by the mesh budget)."""
+"""Lowest eigenvalues on one mesh component (bounded by the mesh budget)."""
 
 from __future__ import annotations
 
 import numpy as np
 
-REACHED = 1e-10  # relative residual accepted once the iteration limit is reached
 SETTLED, LEAST_ROUNDS = 1e-7, 40  # of the eigenvalue search
 
 
@@ -32,60 +31,6 @@ class Rows:
         return values[self.on_diagonal]
 
 
-def conjugate_gradients(rows: Rows, values, rhs, guess=None, tolerance=1e-12, limit=200_000):
-    """Jacobi-preconditioned solve to ``tolerance``; raises where rounding keeps the residual above ``REACHED``."""
-    scale = np.linalg.norm(rhs)
-    x = np.zeros_like(rhs) if guess is None else guess.copy()
-    if scale == 0:
-        return np.zeros_like(rhs)
-    inverse = 1.0 / rows.diagonal(values)
-    r = rhs - rows.times(values, x)
-    z = inverse * r
-    p, rz = z.copy(), r @ z
-    for _ in range(limit):
-        if np.linalg.norm(r) <= tolerance * scale:
-            return x
-        ap = rows.times(values, p)
-        step = rz / (p @ ap)
-        x += step * p
-        r -= step * ap
-        z = inverse * r
-        new = r @ z
-        p = z + (new / rz) * p
-        rz = new
-    reached = np.linalg.norm(rhs - rows.times(values, x)) / scale
-    if reached <= REACHED:
-        return x
-    raise RuntimeError(f"the transport solve stopped at a relative residual of {reached:.1e}")
-
-
-def solve_columns(rows: Rows, values, rhs, guess=None, tolerance=1e-12, limit=200_000):
-    """:func:`conjugate_gradients` for the columns of a matrix at once; a column that is done rests."""
-    scale = np.linalg.norm(rhs, axis=0)
-    x = np.zeros_like(rhs) if guess is None else np.where(scale > 0, guess, 0.0)
-    inverse = 1.0 / rows.diagonal(values)[:, None]
-    r = rhs - rows.times(values, x)
-    p = inverse * r
-    rz = np.sum(r * p, axis=0)
-    for _ in range(limit):
-        on = np.flatnonzero(np.linalg.norm(r, axis=0) > tolerance * scale)
-        if not len(on):
-            return x
-        along = p[:, on]
-        ap = rows.times(values, along)
-        step = rz[on] / np.sum(along * ap, axis=0)
-        x[:, on] += step * along
-        r[:, on] -= step * ap
-        z = inverse * r[:, on]
-        new = np.sum(r[:, on] * z, axis=0)
-        p[:, on] = z + new / rz[on] * along
-        rz[on] = new
-    reached = np.max(np.linalg.norm(rhs - rows.times(values, x), axis=0) / np.maximum(scale, 1e-300))
-    if reached <= REACHED:
-        return x
-    raise RuntimeError(f"the transport solve stopped at a relative residual of {reached:.1e}")
-
-
 def _ritz(rows: Rows, stiffness, mass, basis, wanted):
     """Best approximations to the lowest eigenpairs inside the span of ``basis``."""
     basis = basis / np.maximum(np.linalg.norm(basis, axis=0), 1e-300)

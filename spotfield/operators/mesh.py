@@ -191,13 +191,14 @@ def triangles(mesh: Mesh) -> DataFrame:
 
 
 def nodes(mesh: Mesh) -> DataFrame:
-    """(specimen, node, component, x, y, area); a third of each triangle per corner."""
+    """(specimen, node, component, x, y, area, nx); a third of each triangle per corner, and the length of a lattice row."""
     return (
         triangles(mesh)
         .select("specimen", "component", "area", F.explode(F.array("a", "b", "c")).alias("p"))
         .groupBy("specimen", F.col("p.node").alias("node"))
         .agg(F.first("component").alias("component"), F.first("p.x").alias("x"), F.first("p.y").alias("y"),
-             F.sum(F.col("area") / F.lit(3.0)).alias("area")))
+             F.sum(F.col("area") / F.lit(3.0)).alias("area"))
+        .join(mesh.frame.select("specimen", "nx"), "specimen"))
 
 
 def dense_node_ids(mesh_nodes: DataFrame, frame: DataFrame) -> DataFrame:
@@ -205,7 +206,7 @@ def dense_node_ids(mesh_nodes: DataFrame, frame: DataFrame) -> DataFrame:
 
     Counts per lattice row carry the offset, so no window spans a specimen.
     """
-    n = mesh_nodes.join(frame.select("specimen", "nx"), "specimen").withColumn("_j", F.floor(F.col("node") / F.col("nx")))
+    n = mesh_nodes.drop("nx").join(frame.select("specimen", "nx"), "specimen").withColumn("_j", F.floor(F.col("node") / F.col("nx")))
     rows = n.groupBy("specimen", "_j").agg(F.count("*").alias("_c"))
     before = Window.partitionBy("specimen").orderBy("_j").rowsBetween(Window.unboundedPreceding, -1)
     offset = rows.select("specimen", "_j", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_offset"))

@@ -1,9 +1,8 @@
 """Finite-element reaction-diffusion operator and exposure fields.
 
 ``entries(specimen, component, i, j, k, m)`` holds stiffness and consistent mass.
-No edge crosses components, so systems separate by (specimen, component); each
-solve is one task on a graph that the mesh budget bounds, and candidate ranges
-spread over further tasks.
+No edge crosses components, so systems separate by (specimen, component).  Solves
+run over tiles of the lattice (see :mod:`.multigrid`); no task holds a component.
 """
 
 from __future__ import annotations
@@ -13,15 +12,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..kernels.solver import Rows, conjugate_gradients, solve_columns
+from ..kernels.solver import Rows
 from ..kernels.solver import smallest_eigenvalues as lowest
 from ..runtime import materialise
+from . import multigrid
 from .geometry import tensor_at
 from .mesh import Mesh, triangles
 
-RANGES_PER_TASK = 6
-LOADS_PER_TASK = 16  # solved together, as columns of one system
-
 
 class OperatorError(RuntimeError):
     """The assembled operator violates an invariant."""
@@ -68,144 +65,76 @@ def apply(entries: DataFrame, field: DataFrame, value: str = "u", keys: list[str
         .agg(F.sum(F.col("k") * F.col(value)).alias("ku"), F.sum(F.col("m") * F.col(value)).alias("mu")))
 
 
-def range_blocks(ranges: DataFrame, per_task: int = RANGES_PER_TASK) -> DataFrame:
-    """Split each specimen's ``ells`` array into blocks of a few ranges."""
-    n = F.ceil(F.size("ells") / F.lit(per_task)).cast("int")
-    return (
-        ranges.withColumn("block", F.explode(F.sequence(F.lit(0), n - 1)))
-        .select("specimen", "block", F.slice("ells", F.col("block") * per_task + 1, F.lit(per_task)).alias("ells")))
+def _shifts(ranges: DataFrame) -> DataFrame:
+    """(specimen, g, ri, ell, kappa, sigma): the systems K + M / ell^2 of each range, from ``ranges(specimen, ells)``."""
+    each = ranges.select("specimen", F.posexplode("ells").alias("ri", "ell"))
+    return each.select("specimen", F.lit(0).alias("g"), "ri", "ell", F.lit(1.0).alias("kappa"), (F.lit(1.0) / (F.col("ell") * F.col("ell"))).alias("sigma"))
+
+
+def _solved(entries, load, mesh_nodes, shifts, keys, tile, group=None):
+    """(boxes, operators, solved tiles, numbered load, names of loads)."""
+    boxes, levels = multigrid.build(entries, mesh_nodes, tile)
+    own, names = multigrid.numbered(load, keys, group)
+    own = materialise(own.join(mesh_nodes.select("specimen", "node", "component"), ["specimen", "node"]), "placed")
+    rows = multigrid.solve(boxes, levels, own, shifts.select("specimen", "g", "ri", "kappa", "sigma"), tile)
+    return boxes, levels, rows, own, names
+
 
+def _fields(entries, load, mesh_nodes, shifts, keys, tile, group=None):
+    boxes, levels, rows, own, names = _solved(entries, load, mesh_nodes, shifts, keys, tile, group)
+    found = multigrid.fields(rows, boxes, levels, tile)
+    loaded = own.select("specimen", "component", "part", "li").distinct()
+    told = found.join(loaded, ["specimen", "component", "part", "li"], "left_semi").join(names, ["specimen", "part", "li"])
+    named = told.join(shifts.select("specimen", "g", "ri", "ell"), ["specimen", "g", "ri"])
+    return named.select("specimen", "component", *[k for k in keys if k != "ell"], "ell", "node", "u")
 
-def exposure_fields(entries: DataFrame, load: DataFrame, mesh_nodes: DataFrame, ranges: DataFrame,
-                    keys: list[str] = (), per_task: int = RANGES_PER_TASK) -> DataFrame:
+
+def exposure_fields(entries: DataFrame, load: DataFrame, mesh_nodes: DataFrame, ranges: DataFrame, keys: list[str] = (), tile: int = multigrid.TILE) -> DataFrame:
     """Solve (K + M / ell^2) u = load for every load and every candidate range.
 
     ``load(specimen, *keys, node, load)``, ``ranges(specimen, ells)`` to
     ``(specimen, component, *keys, ell, node, u)``.  Components that receive no
     load have zero exposure and emit no rows.
     """
-    def solve(rows, k, m, rhs, ells):
-        u = None
-        for ell in sorted(ells):
-            system = k + m / (ell * ell)
-            u = conjugate_gradients(rows, system, rhs, guess=u)
-            yield {"ell": ell}, u
-
-    return _solved(entries, load, mesh_nodes, range_blocks(ranges, per_task), list(keys), solve, "load", "ell double")
+    return _fields(entries, load, mesh_nodes, materialise(_shifts(ranges), "shifts"), list(keys), tile)
 
 
-def receiver_exposures(entries: DataFrame, load: DataFrame, weights: DataFrame, mesh_nodes: DataFrame, ranges: DataFrame,
-                       keys: list[str], per_task: int = RANGES_PER_TASK, loads_per_task: int = LOADS_PER_TASK) -> DataFrame:
-    """The fields of :func:`exposure_fields`, read at the receivers inside the task that solves them.
+def receiver_exposures(entries: DataFrame, load: DataFrame, weights: DataFrame, mesh_nodes: DataFrame, ranges: DataFrame, keys: list[str],
+                       tile: int = multigrid.TILE) -> DataFrame:
+    """The fields of :func:`exposure_fields`, read at the receivers inside the tiles.
 
     ``weights(specimen, obs_id, node, w)`` to ``(specimen, *keys, ell, obs_id, h)``
     with a row for every receiver, key and range; zero where a component has no
-    load.  A task takes one component, a few ranges and ``loads_per_task`` loads,
-    which it solves together; what it returns grows with receivers, not with nodes.
+    load.  What it returns grows with receivers, not with nodes.
     """
-    on = mesh_nodes.select("specimen", "node", "component")
-    asked = load.select("specimen", *keys).distinct()
-    number = F.row_number().over(Window.partitionBy("specimen").orderBy(*keys)) - 1
-    asked = materialise(asked.withColumn("part", F.floor(number / F.lit(loads_per_task)).cast("int")), "loads")
-    blocks = range_blocks(ranges, per_task)
-    placed = materialise(load.join(on, ["specimen", "node"]).join(asked, ["specimen", *keys]), "placed")
-    work = materialise(placed.select("specimen", "component", "part").distinct().join(blocks, "specimen"), "work")
-    group = ["specimen", "component", "part", "block", "ells"]
-    left = entries.join(work, ["specimen", "component"])
-    kinds = {**dict(load.dtypes), "obs_id": dict(weights.dtypes)["obs_id"]}
-    reads = weights.join(on, ["specimen", "node"])
-    blank = [F.lit(None).cast(kinds[k]).alias(k) for k in keys]
-    rows = placed.select("specimen", "component", "part", *keys, "node", F.col("load").alias("value"), F.lit(None).cast(kinds["obs_id"]).alias("obs_id"), F.lit(False).alias("read")).join(
-        work, ["specimen", "component", "part"])
-    rows = rows.unionByName(reads.select("specimen", "component", *blank, "node", F.col("w").alias("value"), "obs_id", F.lit(True).alias("read")).join(
-        work, ["specimen", "component"]))
-    names = ["specimen", *keys, "ell", "obs_id", "h"]
-    schema = ", ".join([f"specimen {kinds['specimen']}", *[f"{k} {kinds[k]}" for k in keys], "ell double", f"obs_id {kinds['obs_id']}", "h double"])
-
-    def run(key, a, b):
-        read = b["read"].to_numpy() if len(b) else np.zeros(0, dtype=bool)
-        sources, receivers = b[~read], b[read]
-        if not len(a) or not len(sources) or not len(receivers):
-            return pd.DataFrame({n: [] for n in names})
-        system = Rows(a["i"].to_numpy(), a["j"].to_numpy(), a["k"].to_numpy(), a["m"].to_numpy())
-        k, m = system.values
-        column = sources.groupby(keys, sort=True).ngroup().to_numpy()
-        labels = sources[keys].assign(_c=column).drop_duplicates("_c").sort_values("_c")[keys]
-        rhs = np.zeros((len(system.names), len(labels)))
-        np.add.at(rhs, (system.position(sources["node"].to_numpy()), column), sources["value"].to_numpy())
-        seen, at = np.unique(receivers["obs_id"].to_numpy(), return_inverse=True)
-        node, w = system.position(receivers["node"].to_numpy()), receivers["value"].to_numpy()[:, None]
-        out, u = [], None
-        for ell in sorted(key[4]):
-            u = solve_columns(system, k + m / (ell * ell), rhs, u)
-            h = np.zeros((len(seen), len(labels)))
-            np.add.at(h, at, w * u[node])
-            out.append(pd.DataFrame({
-                "specimen": key[0], **{c: np.tile(labels[c].to_numpy(), len(seen)) for c in keys}, "ell": ell,
-                "obs_id": np.repeat(seen, len(labels)), "h": h.ravel()}))
-        return pd.concat(out)[names]
-
-    rows = rows.select(*[F.col(c).alias(c) for c in rows.columns])  # both sides descend from the same tables
-    # a footprint lies on one component, so a receiver's value comes from one task
-    solved = left.groupBy(*group).cogroup(rows.groupBy(*group)).applyInPandas(run, schema)
-    loaded = placed.select("specimen", "component", *keys).distinct()
-    bare = reads.select("specimen", "component").distinct().join(asked.drop("part"), "specimen").join(loaded, ["specimen", "component", *keys], "left_anti")
-    zeros = reads.select("specimen", "component", "obs_id").distinct().join(bare, ["specimen", "component"]).join(ranges.select("specimen", F.explode("ells").alias("ell")), "specimen")
-    return solved.unionByName(zeros.select("specimen", *keys, "ell", "obs_id", F.lit(0.0).alias("h")))
-
-
-def mass_solve(entries: DataFrame, load: DataFrame, mesh_nodes: DataFrame, keys: list[str] = ()) -> DataFrame:
+    keys = list(keys)
+    shifts = materialise(_shifts(ranges), "shifts")
+    boxes, _, rows, own, names = _solved(entries, load, mesh_nodes, shifts, keys, tile)
+    reads = materialise(weights.select("specimen", "obs_id", "node", "w").join(mesh_nodes.select("specimen", "node", "component"), ["specimen", "node"]), "reads")
+    found = multigrid.read(rows, boxes, reads, tile)
+    told = found.join(names.drop("n"), ["specimen", "part", "li"]).join(shifts.select("specimen", "g", "ri", "ell"), ["specimen", "g", "ri"])
+    # a component without a load of a part has no tiles of it
+    loaded = own.select("specimen", "component", "part").distinct()
+    bare = reads.select("specimen", "component").distinct().join(names, "specimen").join(loaded, ["specimen", "component", "part"], "left_anti")
+    zeros = reads.select("specimen", "component", "obs_id").distinct().join(bare, ["specimen", "component"]).join(shifts.select("specimen", "ell"), "specimen")
+    return told.select("specimen", *keys, "ell", "obs_id", "h").unionByName(zeros.select("specimen", *keys, "ell", "obs_id", F.lit(0.0).alias("h")))
+
+
+def mass_solve(entries: DataFrame, load: DataFrame, mesh_nodes: DataFrame, keys: list[str] = (), tile: int = multigrid.TILE) -> DataFrame:
     """Solve M u = load."""
-    one = load.select("specimen").distinct().select("specimen", F.lit(0).alias("block"), F.array(F.lit(0.0)).alias("ells"))
-
-    def solve(rows, k, m, rhs, ells):
-        yield {"ell": 0.0}, conjugate_gradients(rows, m, rhs)
-
-    return _solved(entries, load, mesh_nodes, one, list(keys), solve, "load", "ell double").drop("ell")
+    one = load.select("specimen").distinct().select("specimen", F.lit(0).alias("g"), F.lit(0).alias("ri"), F.lit(0.0).alias("ell"), F.lit(0.0).alias("kappa"), F.lit(1.0).alias("sigma"))
+    return _fields(entries, load, mesh_nodes, materialise(one, "shifts"), list(keys), tile).drop("ell")
 
 
-def log_range_derivative(entries: DataFrame, fields: DataFrame, mesh_nodes: DataFrame, keys: list[str] = ()) -> DataFrame:
+def log_range_derivative(entries: DataFrame, fields: DataFrame, mesh_nodes: DataFrame, keys: list[str] = (), tile: int = multigrid.TILE) -> DataFrame:
     """du / d(log ell) = 2 / ell^2 (K + M / ell^2)^-1 M u, for each row's own ell."""
-    rhs = apply(entries, fields, "u", ["ell", *keys]).select("specimen", "ell", *keys, "node", F.col("mu").alias("load"))
-    each = fields.select("specimen", "ell").distinct().withColumns({"block": F.xxhash64("ell"), "ells": F.array("ell")})
-    blocked = rhs.withColumn("block", F.xxhash64("ell"))
-
-    def solve(rows, k, m, load, ells):
-        ell = ells[0]
-        yield {"ell": ell}, 2.0 / (ell * ell) * conjugate_gradients(rows, k + m / (ell * ell), load)
-
-    return _solved(entries, blocked.drop("ell"), mesh_nodes, each, list(keys), solve, "load", "ell double", own_block=True)
-
-
-def _solved(entries, load, mesh_nodes, blocks, keys, solve, value, extra, own_block=False):
-    located = load.join(mesh_nodes.select("specimen", "node", "component"), ["specimen", "node"])
-    left = entries.join(blocks, "specimen")
-    right = located.join(blocks, ["specimen", "block"] if own_block else "specimen")
-    types = dict(load.dtypes)
-    schema = ", ".join([f"specimen {types['specimen']}", "component int", *[f"{k} {types[k]}" for k in keys],
-                        extra, "node long", "u double"])
-
-    def run(key, a, b):
-        if not len(a) or not len(b):
-            return pd.DataFrame({n.split(" ")[0]: [] for n in schema.split(", ")})
-        specimen, component, _, ells = key
-        rows = Rows(a["i"].to_numpy(), a["j"].to_numpy(), a["k"].to_numpy(), a["m"].to_numpy())
-        k, m = rows.values
-        frames = []
-        for name, part in (b.groupby(keys) if keys else [((), b)]):
-            rhs = np.zeros(len(rows.names))
-            np.add.at(rhs, rows.position(part["node"].to_numpy()), part[value].to_numpy())
-            for labels, u in solve(rows, k, m, rhs, list(ells)):
-                frames.append(pd.DataFrame({
-                    "specimen": specimen, "component": component,
-                    **dict(zip(keys, name if isinstance(name, tuple) else (name,))), **labels,
-                    "node": rows.names, "u": u}))
-        return pd.concat(frames)
-
-    group = ["specimen", "component", "block", "ells"]
-    # Both sides descend from the same tables; fresh aliases keep them apart.
-    right = right.select(*[F.col(c).alias(c) for c in right.columns])
-    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(run, schema)
+    rhs = apply(entries, fields, "u", ["ell", *keys])
+    ells = fields.select("specimen", "ell").distinct()
+    each = ells.withColumn("g", (F.row_number().over(Window.partitionBy("specimen").orderBy("ell")) - 1).cast("int"))
+    shifts = materialise(each.select("specimen", "g", F.lit(0).alias("ri"), "ell", F.lit(1.0).alias("kappa"), (F.lit(1.0) / (F.col("ell") * F.col("ell"))).alias("sigma")), "shifts")
+    slope = (F.lit(2.0) / (F.col("ell") * F.col("ell")) * F.col("mu")).alias("load")
+    load = rhs.join(shifts.select("specimen", "ell", "g"), ["specimen", "ell"]).select("specimen", "g", *keys, "node", slope)
+    return _fields(entries, load, mesh_nodes, shifts, list(keys), tile, "g")
 
 
 def residuals(entries: DataFrame, fields: DataFrame, load: DataFrame, keys: list[str] = ()) -> DataFrame:

@@ -32,8 +32,8 @@ def scratch_root(spark: SparkSession) -> str:
     return _LOCAL_ROOT[sc.applicationId]
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once and return a scan of it.
+def materialise(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once, in folders by the values of a column if one is named, and return a scan of it.
 
     Cuts lineage, and lets the planner see the true size of the table: a
     per-specimen scalar table then broadcasts only if its files are smaller
@@ -42,7 +42,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     path = f"{scratch_root(spark)}/spotfield/{app}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
