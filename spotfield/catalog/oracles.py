@@ -311,6 +311,30 @@ JOIN {prefix}pts p ON p.specimen = e.specimen AND p.node = src JOIN {prefix}pts
 
 _mesh("", MESH_UM)
 _mesh("fine_", S.MESH_SPACINGS_UM[0])
+# A length is a number of cell sides and of diagonals, so that equal ways are equal.
+step("ways", ["edges"], f"""
+SELECT specimen, component, unnest([src, dst]) AS u, unnest([dst, src]) AS v, CASE WHEN length > 1.2e0 * {_H} THEN 0 ELSE 1 END AS ds,
+  CASE WHEN length > 1.2e0 * {_H} THEN 1 ELSE 0 END AS dg FROM edges""")
+
+
+def _sweep(sources):
+    """Shortest ways from one node (specimen, component, node) of each component."""
+    return f"""
+WITH RECURSIVE way(specimen, node, component, s, g) USING KEY (specimen, node) AS (
+  SELECT specimen, node, component, 0, 0 FROM ({sources})
+  UNION
+  SELECT specimen, node, component, s, g FROM (
+    SELECT *, row_number() OVER (PARTITION BY specimen, node ORDER BY s + g * sqrt(2e0)) AS rn FROM (
+      SELECT w.specimen, v AS node, w.component, w.s + ds AS s, w.g + dg AS g, o.s AS old_s, o.g AS old_g
+      FROM way w JOIN ways ON ways.specimen = w.specimen AND u = w.node LEFT JOIN recurring.way o ON o.specimen = w.specimen AND o.node = v)
+    WHERE old_s IS NULL OR s + g * sqrt(2e0) < old_s + old_g * sqrt(2e0)) WHERE rn = 1)
+SELECT * FROM way"""
+
+
+_FIRST = "SELECT specimen, component, min(u) AS node FROM ways GROUP BY 1, 2"
+step("far_ends", ["ways"], f"""
+SELECT specimen, component, node FROM (SELECT *, row_number() OVER (PARTITION BY specimen, component ORDER BY s + g * sqrt(2e0) DESC, node) AS rn
+FROM ({_sweep(_FIRST)})) WHERE rn = 1""")
 
 # -- observations on the mesh -------------------------------------------------
 
@@ -514,6 +538,8 @@ JOIN (SELECT specimen, count(*) AS n_triangles FROM fine_tri GROUP BY 1) t ON t.
     "mesh_largest": query(f"""
 SELECT specimen, CAST(0 AS INTEGER) AS component, n_nodes FROM (
   SELECT specimen, component, count(*) AS n_nodes, row_number() OVER (PARTITION BY specimen ORDER BY count(*) DESC, component) AS rn FROM nodes GROUP BY 1, 2) WHERE rn = 1""", "nodes"),
+    "mesh_diameter": query(f"""
+SELECT specimen, component, {r6(f'max(s + g * sqrt(2e0)) * {_H}')} AS diameter_um FROM ({_sweep("SELECT * FROM far_ends")}) GROUP BY 1, 2""", "far_ends"),
     "tensor_at": query(f"""
 SELECT specimen, obs_id, {r6('a11')} AS a11, {r6('a12')} AS a12, {r6('a22')} AS a22 FROM (SELECT specimen, obs_id, {_tensor('beta')} FROM obs_at JOIN field_k ON k = there)""", "obs_at", "field_k"),
     "locate_points": query(f"""

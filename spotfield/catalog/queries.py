@@ -383,7 +383,7 @@ def mesh_largest(s: Study):
 
 @registered
 def mesh_diameter(s: Study):
-    return s.diameters
+    return s.diameters.withColumn("diameter_um", r6("diameter_um"))
 
 
 # -- observations on the mesh -------------------------------------------------

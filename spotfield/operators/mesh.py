@@ -11,12 +11,9 @@ mesh budget of two million nodes per specimen bounds every per-specimen graph.
 
 from __future__ import annotations
 
-import heapq
 import warnings
 from typing import NamedTuple
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -252,44 +249,5 @@ def summary(mesh: Mesh) -> DataFrame:
     return n.join(t, "specimen").withColumn("connected", F.col("n_components") == 1)
 
 
-def component_diameters(mesh_edges: DataFrame) -> DataFrame:
-    """Geodesic diameter per component by a double sweep (a lower bound).
-
-    One task per component; the mesh budget bounds its graph.
-    """
-    kind = dict(mesh_edges.dtypes)["specimen"]
-    return mesh_edges.groupBy("specimen", "component").applyInPandas(
-        _double_sweep, f"specimen {kind}, component int, diameter_um double")
-
-
 def geodesic_diameters(component_diameter: DataFrame) -> DataFrame:
     return component_diameter.groupBy("specimen").agg(F.max("diameter_um").alias("diameter_um"))
-
-
-def _double_sweep(key, pdf):
-    names, flat = np.unique(np.concatenate([pdf["src"].to_numpy(), pdf["dst"].to_numpy()]), return_inverse=True)
-    m = len(pdf)
-    tail = np.concatenate([flat[:m], flat[m:]])
-    head = np.concatenate([flat[m:], flat[:m]])
-    length = np.tile(pdf["length"].to_numpy(), 2)
-    order = np.argsort(tail, kind="stable")
-    start = np.searchsorted(tail[order], np.arange(len(names) + 1)).tolist()
-    head, length = head[order].tolist(), length[order].tolist()
-
-    def sweep(source):
-        dist = [float("inf")] * len(names)
-        dist[source] = 0.0
-        heap = [(0.0, source)]
-        while heap:
-            d, v = heapq.heappop(heap)
-            if d > dist[v]:
-                continue
-            for k in range(start[v], start[v + 1]):
-                u, reach = head[k], d + length[k]
-                if reach < dist[u]:
-                    dist[u] = reach
-                    heapq.heappush(heap, (reach, u))
-        return np.array(dist)
-
-    far = int(np.argmax(sweep(0)))
-    return pd.DataFrame({"specimen": [key[0]], "component": [key[1]], "diameter_um": [float(sweep(far).max())]})

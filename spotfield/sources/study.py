@@ -15,7 +15,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import geometry, histology, mesh, molecular, projection, transport
+from ..operators import geodesic, geometry, histology, mesh, molecular, projection, transport
 from ..runtime import materialise, release, ship_package
 
 PIXEL_UM = 4.0
@@ -157,7 +157,7 @@ class Study:
 
     @cached_property
     def diameters(self) -> DataFrame:
-        return materialise(mesh.component_diameters(mesh.edges(self.mesh)), "diameters")
+        return materialise(geodesic.component_diameters(self.mesh), "diameters")
 
     # -- observations on the mesh ---------------------------------------------
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spotfield.kernels import image
-from spotfield.operators import components, geometry, histology, mesh, multigrid, projection, transport
+from spotfield.operators import components, geodesic, geometry, histology, mesh, multigrid, projection, transport
 from spotfield.runtime import materialise
 
 
@@ -175,12 +175,13 @@ def test_corner_contact_joins_components(spark):
     assert mesh.summary(mesh.build(tissue, extent, 1.0)).first().n_components == 1
 
 
-def test_diameter(slide):
-    edges = mesh.edges(slide["mesh"]).toPandas()
-    around = {}
+def plain_diameters(edges):
+    """Per component: Dijkstra from its first node, then from the first of the farthest."""
+    around, names = {}, {}
     for r in edges.itertuples(index=False):
         around.setdefault(r.src, []).append((r.dst, r.length))
         around.setdefault(r.dst, []).append((r.src, r.length))
+        names[r.src] = names[r.dst] = r.component
 
     def sweep(source):
         dist, heap = {source: 0.0}, [(0.0, source)]
@@ -194,11 +195,38 @@ def test_diameter(slide):
                     heapq.heappush(heap, (d + w, u))
         return dist
 
-    first = sweep(min(around))
-    top = max(first.values())
-    far = min(n for n, d in first.items() if d == top)
-    got = mesh.component_diameters(mesh.edges(slide["mesh"])).first().diameter_um
-    assert got == pytest.approx(max(sweep(far).values()))
+    out = {}
+    for component in set(names.values()):
+        first = sweep(min(n for n, c in names.items() if c == component))
+        top = max(first.values())
+        out[component] = max(sweep(min(n for n, d in first.items() if d > top - 1e-9)).values())
+    return out
+
+
+@pytest.mark.parametrize("tile", [256, 16])
+def test_diameter(slide, tile):
+    got = {r.component: r.diameter_um for r in geodesic.component_diameters(slide["mesh"], tile).collect()}
+    assert got == pytest.approx(plain_diameters(mesh.edges(slide["mesh"]).toPandas()))
+
+
+def test_diameters_of_many_components_over_tiles(spark):
+    """A winding corridor that enters the same tiles many times, beside scraps of every size."""
+    mask = np.zeros((41, 41), dtype=bool)
+    for k in range(0, 40, 6):
+        mask[k:k + 3, :30] = True
+        turn = 27 if k % 12 == 0 else 0
+        mask[k:k + 9, turn:turn + 3] = True
+    mask[:, 32:] = np.random.default_rng(5).random((41, 9)) < 0.85
+    r, c = np.nonzero(mask)
+    tissue = spark.createDataFrame(pd.DataFrame({"specimen": "s", "row": r, "col": c, "in_tissue": True}))
+    extent = spark.createDataFrame([("s", 41, 41, 1.0)], "specimen string, n_rows long, n_cols long, pixel_size_um double")
+    with pytest.warns(UserWarning, match="separate components"):
+        m = mesh.build(tissue, extent, 1.0)
+    want = plain_diameters(mesh.edges(m).toPandas())
+    assert len(want) > 2 and max(want.values()) > 150
+    for tile in (256, 7, 16):
+        got = {r.component: r.diameter_um for r in geodesic.component_diameters(m, tile).collect()}
+        assert got == pytest.approx(want), tile
 
 
 def test_locate_and_weights(spark, slide):
