@@ -8,8 +8,9 @@ dummy prefix added.  Byte-pair merges then run by score, leftmost first, and
 each piece is projected to the source bytes its characters came from.
 
 If no piece of the vocabulary goes on into a space, merges never cross one,
-so a text is encoded space by space and results are remembered: a task keeps
-up to ``REMEMBERED`` of them.
+so a text is encoded space by space.  Ids and spans of such runs, aligned to the
+run's first byte, are remembered (a task keeps up to ``REMEMBERED`` of them); the place
+of the run in the text is added to give the spans of every piece.
 
 ``encode`` gives ids with source spans, ``decode`` gives texts back, ``digests``
 what the registered query reports.
@@ -26,9 +27,12 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array
 from heapq import heappop, heappush
+from itertools import accumulate, chain
 from math import inf
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,6 +101,10 @@ class Pieces:
         # merges stay inside runs of spaces with what follows, if no piece holds a space after something else
         self.by_space = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.known = Remembered(self._encode_run, REMEMBERED)
+        self.stretches = Remembered(lambda ids: self.decode([self.ids[SPACE], *ids]), REMEMBERED // 10)
+        self.normal = np.array([k == NORMAL for k in self.kinds])
+        self.spoken = [p.replace(SPACE, " ") for p in self.names]
+        self.written = [str(i) for i in range(len(self.names))]
 
     def normalise(self, text: str) -> tuple[str, list[int]]:
         """Normalised text with spaces escaped, and the source byte of each character, with the end of the source last."""
@@ -105,8 +113,13 @@ class Pieces:
             return "", [0]
         chars, places = [], []
         at = 0
+        if self.map is None:  # every character is copied
+            places = list(range(len(source))) if text.isascii() else [0, *accumulate(len(c.encode()) for c in text[:-1])]
+            if self.dummy and not self.squeeze:
+                return SPACE + text.replace(" ", SPACE), [0, *places, len(source)]
+            chars, at = list(text), len(source)
         while at < len(source):
-            match = self.map.longest(source, at) if self.map else None
+            match = self.map.longest(source, at)
             if match:
                 step, new = match[0], match[1].decode()
             else:
@@ -181,10 +194,18 @@ class Pieces:
         out, at = [], 0
         runs = re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", normal) if self.by_space else [normal] if normal else []
         for run in runs:
-            for piece in self.merge(run):
-                start, end = places[at], places[at + len(piece)]
-                out += [(i, start, end) for i in self.ids_of(piece)]
-                at += len(piece)
+            out += self._aligned(run, places, at)
+            at += len(run)
+        return out
+
+    def _aligned(self, run: str, places: list[int], at: int = 0) -> list[tuple[int, int, int]]:
+        """Pieces of a normalised run whose first character is the one at ``at``."""
+        out = []
+        for piece in self.merge(run):
+            end = at + len(piece)
+            i = self.ids.get(piece)
+            out += [(i, places[at], places[end])] if i is not None else [(i, places[at], places[end]) for i in self.ids_of(piece)]
+            at = end
         return out
 
     def decode(self, ids) -> str:
@@ -223,38 +244,58 @@ class Pieces:
         flush()
         return "".join(out)
 
-    def _encode_run(self, run: str) -> tuple[str, int, str, int]:
-        """Of a space and what follows: ids as text, their number, their text, and the source bytes their spans cover."""
-        normal = SPACE + run.replace(" ", SPACE)
-        found = self.merge(normal)
-        ids = [self.ids.get(piece) for piece in found]
-        if None not in ids:
-            spelled = "".join(map(self.names.__getitem__, ids)).replace(SPACE, " ")
-            return ",".join(map(str, ids)), len(ids), spelled, len(run.encode()) + 1
-        ids = [i for piece in found for i in self.ids_of(piece)]
-        spelled = self.decode([self.ids[SPACE], *ids])  # after a first space, which decoding takes away
-        return ",".join(map(str, ids)), len(ids), spelled, len(run.encode()) + 1
-
-    def digest(self, text: str) -> tuple[int, str, str, int]:
-        """Number of ids, SHA-256 of the ids and of the decoded text, and the source bytes that spans cover."""
+    def _encode_run(self, run: str) -> bytes:
+        """(id, start, end) of each piece of a space and the run after it, in bytes from the run's start: only the first piece starts before it."""
+        normal, places = self.normalise(run) if run else (SPACE, [0, 0])
+        places[0] = -1  # the dummy prefix stands for the space
+        return array("i", chain.from_iterable(self._aligned(normal, places))).tobytes()
+
+    def spans(self, text: str) -> np.ndarray:
+        """(id, start, end) of every piece as rows; what ``encode`` gives, by way of remembered runs where they are independent."""
         if not text:
-            return 0, hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"").hexdigest(), 0
+            return np.zeros((0, 3), dtype=np.int64)
         if not (self.by_space and self.map is None and self.dummy and not self.squeeze and SPACE in self.ids) or SPACE in text:
-            found = self.encode(text)
-            ids = [i for i, _, _ in found]
-            covered = found[-1][2] - found[0][1] if found else 0
-            written, decoded = ",".join(map(str, ids)), self.decode(ids)
-        else:  # each character is its own source, so runs are independent
-            if "  " in text or text[0] == " ":
-                runs = [r[1:] for r in RUN.findall(" " + text)]
-            else:
-                runs = text.split(" ")
-            known = list(map(self.known.__getitem__, runs))
-            written = ",".join([k[0] for k in known])
-            decoded = "".join([k[2] for k in known])[1:]
-            covered = sum([k[3] for k in known]) - 1
-            return sum([k[1] for k in known]), hashlib.sha256(written.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), covered
-        return len(ids), hashlib.sha256(written.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), covered
+            return np.array(self.encode(text), dtype=np.int64).reshape(-1, 3)
+        if "  " in text or text[0] == " ":
+            runs = [r[1:] for r in RUN.findall(" " + text)]
+        else:
+            runs = text.split(" ")
+        found = np.frombuffer(b"".join(map(self.known.__getitem__, runs)), dtype=np.int32).reshape(-1, 3).astype(np.int64)
+        # a run begins a space after the end of the one before
+        first = np.flatnonzero(found[:, 1] == -1)[1:]
+        step = np.zeros(len(found), dtype=np.int64)
+        step[first] = found[first - 1, 2] + 1
+        found[:, 1:] += np.cumsum(step)[:, None]
+        found[0, 1] = 0  # no space comes before the first
+        return found
+
+    def spelled(self, ids: np.ndarray, listed: list[int]) -> str:
+        """What ``decode`` gives of ids, which come as an array and as a list; stretches without bytes or control pieces are joined at once."""
+        normal = self.normal[ids]
+        if not self.dummy or self.squeeze or SPACE not in self.ids or not listed or not normal[0]:
+            return self.decode(listed)
+        out: list[str] = []
+        cuts = [0, *(np.flatnonzero(normal[1:] != normal[:-1]) + 1).tolist(), len(listed)]
+        for a, b in zip(cuts, cuts[1:]):
+            if normal[a]:
+                out.append("".join(map(self.spoken.__getitem__, listed[a:b])))
+            else:  # after a first space, which decoding takes away
+                out.append(self.stretches[tuple(listed[a:b])])
+        text = "".join(out)
+        return text[1:] if text.startswith(" ") else text
+
+    def digest(self, text: str) -> tuple[int, str, str, int, str]:
+        """Number of ids, SHA-256 of the ids and of the text decoded from them, the source bytes that spans cover, SHA-256 of the spans."""
+        found = self.spans(text)
+        ids, starts, ends = found.T
+        listed = ids.tolist()
+        written = ",".join(map(self.written.__getitem__, listed))
+        reach = np.maximum.accumulate(ends)
+        starts = starts.copy()
+        starts[1:] = np.maximum(starts[1:], reach[:-1])
+        covered = int(np.maximum(ends - starts, 0).sum())
+        return (len(found), hashlib.sha256(written.encode()).hexdigest(), hashlib.sha256(self.spelled(ids, listed).encode()).hexdigest(), covered,
+                hashlib.sha256(found.astype("<i8").tobytes()).hexdigest())
 
 
 def _mapped(docs: DataFrame, model: bytes, column: str, of, schema: str, kinds: dict) -> DataFrame:
@@ -289,7 +330,11 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
 
 
 def digests(docs: DataFrame, model: bytes) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, covered_bytes): the last is what all spans cover together, or the text's length where runs are looked up."""
-    kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "covered_bytes": pa.int64()}
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, covered_bytes, spans_sha256).
+
+    ``covered_bytes`` is what the spans of all pieces cover together, and ``spans_sha256``
+    the digest of (id, start, end) of every piece, as 64-bit little-endian numbers.
+    """
+    kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "covered_bytes": pa.int64(), "spans_sha256": pa.string()}
     return _mapped(docs, model, "text", lambda pieces, text: pieces.digest(text or ""),
-                   "n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long", kinds)
+                   "n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long, spans_sha256 string", kinds)

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import struct
 import re
 from array import array
 from collections import Counter, defaultdict
@@ -44,11 +45,24 @@ def test_pieces_spans_and_text_are_the_library_s():
         assert ours.decode(ids) == theirs.decode(ids)
         assert ours.digest(t)[:3] == (len(ids), h(",".join(map(str, ids))), h(theirs.decode(ids)))
         assert ours.digest(t)[3] == len(t.encode())
+        assert [tuple(r) for r in ours.spans(t).tolist()] == found, t
+        assert ours.digest(t)[4] == hashlib.sha256(struct.pack(f"<{3 * len(found)}q", *[v for f in found for v in f])).hexdigest()
         assert all(b == c for (_, _, b), (_, c, _) in zip(found, found[1:]) if c != found[0][1] and b <= c)
     rng = random.Random(4)
     for _ in range(300):
         ids = [rng.randrange(32000) if rng.random() < 0.5 else rng.randrange(259) for _ in range(8)]
-        assert ours.decode(ids) == theirs.decode(ids)
+        assert ours.decode(ids) == theirs.decode(ids) == ours.spelled(np.array(ids), ids)
+
+
+@pytest.mark.parametrize("text", ["", " ", "  ", "a ", " a", "a  b", "a   é b ", "\U0001f600 x\U0001f600", "x\u2581y z", "\u2581", "line\n\nnext \t tab", "\x00 \x01"])
+def test_spans_of_runs_are_those_of_the_whole_text(text):
+    """Every piece of a text gets the span that alignment of the whole text gives it, also through remembered runs."""
+    p = pieces.Pieces(MODEL)
+    for _ in range(2):
+        found = p.spans(text)
+        assert [tuple(r) for r in found.tolist()] == p.encode(text)
+        assert p.spelled(found[:, 0], found[:, 0].tolist()) == p.decode(found[:, 0].tolist()) == text.replace("\u2581", " ")
+    assert p.digest(text)[3] == len(text.encode())
 
 
 def test_both_ways_to_merge_agree(monkeypatch):
@@ -115,6 +129,9 @@ def test_piece_tables(spark, docs, rows, empty):
     got = pieces.decode(pieces.encode(docs, MODEL), MODEL).collect()
     assert Counter(r.text for r in got) == Counter(r[1] or "" for r in rows)
     assert pieces.digests(docs.withColumn("n_tokens", F.lit(1)), MODEL).count() == len(rows)
+    digest = lambda i, s, e: hashlib.sha256(np.array([i, s, e], dtype="<i8").T.tobytes()).hexdigest()
+    want = Counter(digest(r.ids, r.starts, r.ends) for r in pieces.encode(docs, MODEL).collect())
+    assert Counter(r.spans_sha256 for r in pieces.digests(docs, MODEL).collect()) == want
     assert pieces.digests(empty, MODEL).count() == 0 and pieces.encode(empty, MODEL).count() == 0
 
 
