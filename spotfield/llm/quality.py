@@ -9,13 +9,17 @@ shortness of the text beside it, into a probability.
 
 The model is fitted on a bounded sample: at most ``per_class`` labelled rows
 of each class, those with the lowest hash of their id, and of these at most
-``class_bytes`` of text.  Scoring streams over the table; a task holds one
+``class_bytes`` of text: one that no longer fits is passed over for later ones that do.  A
+dictionary is trained on at most ``100 * DICTIONARY`` bytes of blocks, dealt evenly over
+the sample's texts; calibration takes whole texts.  Scoring streams over the table; a task holds one
 batch and two dictionaries of ``DICTIONARY`` bytes.
 
 Defined cases: a null text counts as empty; an empty text gets the score of a
 difference of zero, a ratio of one and full shortness; null labels, labels without a document and documents
 without a label are not learned from; with labels of one class only (or none),
-every score is the smoothed share of label 1 (or 0.5); repeated rows give a row each.
+every score is the smoothed share of label 1 (or 0.5); repeated rows give a row each; a null
+id is scored and never learned from; a text of any length is scored whole, block by block; an
+empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

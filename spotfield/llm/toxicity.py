@@ -19,7 +19,9 @@ the scores of words it has met, up to ``REMEMBERED`` of them.
 Defined cases: a null text counts as empty; a text without words gets the
 score of an all-zero average; labels other than 0 and 1 and labels without a
 document are not learned from; with labels of one class only (or none) every
-score is the smoothed share of label 1 (or 0.5); repeated rows give a row each.
+score is the smoothed share of label 1 (or 0.5); repeated rows give a row each; a null
+id is scored and never learned from; a text of any length is scored whole; an empty table
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
