@@ -35,7 +35,6 @@ from math import inf
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as proto
 
 from .common import Remembered, loaded, ship_package
