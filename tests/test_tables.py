@@ -111,3 +111,29 @@ def test_contact_against_all_pairs(spark, by_component):
     assert np.allclose(got, want)
     edges = contact.contact_edges(df, 6.0, by_component).toPandas()
     assert len(edges) == near.sum() and np.allclose(edges.groupby("obs_i")["w"].sum(), 1.0)
+    split = contact.contact_edges(df, 6.0, by_component, crowd=7).toPandas()
+    assert sorted(map(tuple, split.values.tolist())) == sorted(map(tuple, edges.values.tolist()))
+
+
+def test_crowded_cell_is_dealt_over_the_tasks(spark):
+    """A third of all points in one cell, half of these at one place: pairs per task stay near the median."""
+    from pyspark.sql import functions as F
+
+    n = 6000
+    place = F.when(F.col("id") % 6 == 0, F.lit(5.0)).when(F.col("id") % 6 == 1, F.lit(5.0) + F.rand(1) * 0.5).otherwise(F.rand(2) * 400.0)
+    df = spark.range(n).select(
+        F.lit("s").alias("specimen"), F.col("id").alias("obs_id"), place.alias("x_um"), F.when(F.col("id") % 6 < 2, F.lit(5.0)).otherwise(F.rand(3) * 400.0).alias("y_um"))
+    df = spark.createDataFrame(df.collect(), df.schema)
+    aqe = spark.conf.get("spark.sql.adaptive.enabled")
+    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # what the keys do by themselves
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        edges = contact.contact_edges(df, 6.0, crowd=64)
+        tasks = edges.groupBy(F.spark_partition_id().alias("task")).count().toPandas()["count"]
+        xy = df.toPandas()[["x_um", "y_um"]].to_numpy()
+        want = sum(int((np.linalg.norm(xy - v, axis=1) <= 6.0 + 1e-9).sum()) - 1 for v in xy)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+    assert tasks.sum() == want and len(tasks) == 8 and tasks.max() <= 3 * tasks.median()
