@@ -152,6 +152,24 @@ def test_blocks_are_pruned_and_large_values_exact():
     assert list(zip(name, score)) == [(2, (3 << 60) + 6), (1, (3 << 60) + 5)]
 
 
+def test_few_shards_are_visited(spark, monkeypatch):
+    """Clustered vectors: most shards cannot reach a query's k-th score and are not asked."""
+    monkeypatch.setattr(topk, "SHARD", 50)
+    monkeypatch.setattr(topk, "PACK", 7)
+    monkeypatch.setattr(topk, "QUERIES", 11)
+    rng = np.random.default_rng(3)
+    vectors = []
+    for i in range(3000):
+        v = rng.normal(0, 0.02, 16)
+        v[i % 16] += 1.0 if i % 32 < 16 else -1.0
+        vectors.append((i, [float(x) for x in v.astype(np.float32)]))
+    trace = []
+    got = sorted(map(tuple, topk.top(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, trace=trace).collect()))
+    assert got == plain_top(vectors, 5, 20)
+    visited, every = trace[0]
+    assert every >= 150 * 60 and 5 * visited < every
+
+
 def test_top_k_of_nothing(spark):
     assert topk.top(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
 
