@@ -401,3 +401,53 @@ def test_receivers_read_the_solved_fields(spark, slide, tile):
     both = got.merge(want, on=["specimen", "pair_id", "ell", "obs_id"], how="left")
     assert len(got) == weights.select("obs_id").distinct().count() * 30
     assert np.allclose(both["h_x"], both["h_y"].fillna(0.0), rtol=1e-8, atol=1e-12)
+
+
+def test_components_of_one_tile_take_no_tables_of_tiles(slide, spark, monkeypatch):
+    """One task a component: neither operators nor states of tiles are written, whatever the number of ranges."""
+    def never(*_, **__):
+        raise AssertionError("a component of one tile went through rounds")
+
+    node = [r.node for r in slide["nodes"].orderBy("node").select("node").limit(40).collect()]
+    load = spark.createDataFrame([("a", f"P{k}", n, 1.0 + k) for k in range(10) for n in node[k::10]], "specimen string, pair_id string, node long, load double")
+    weights = spark.createDataFrame([("a", o, n, 0.5) for o, n in enumerate(node)], "specimen string, obs_id long, node long, w double")
+    grid = spark.createDataFrame([("a", [20.0, 200.0])], "specimen string, ells array<double>")
+    args = slide["entries"], load, weights, slide["nodes"], grid, ["pair_id"]
+    e = slide["entries"].toPandas()
+    names, at = np.unique(np.concatenate([e["i"], e["j"]]), return_inverse=True)
+    stiff, mass = np.zeros((2, len(names), len(names)))
+    stiff[at[:len(e)], at[len(e):]], mass[at[:len(e)], at[len(e):]] = e["k"], e["m"]
+    want = {}
+    for ell in (20.0, 200.0):
+        for k in range(10):
+            b = np.zeros(len(names))
+            b[np.searchsorted(names, node[k::10])] = 1.0 + k
+            u = np.linalg.solve(stiff + mass / ell ** 2, b)
+            want.update({(f"P{k}", ell, o): 0.5 * u[np.searchsorted(names, n)] for o, n in enumerate(node)})
+    monkeypatch.setattr(multigrid, "build", never)
+    monkeypatch.setattr(multigrid, "solve", never)
+    whole = {(r.pair_id, r.ell, r.obs_id): r.h for r in transport.receiver_exposures(*args).collect()}
+    assert whole.keys() == want.keys() and len(whole) == 10 * 2 * 40
+    assert all(np.isclose(h, want[at], rtol=1e-8, atol=1e-9) for at, h in whole.items())
+
+
+def test_products_meet_in_blocks(slide, spark, monkeypatch):
+    """Products of matrices with fields equal the plain join, across blocks, with nulls, null keys and repeated rows."""
+    nodes = [r.node for r in slide["nodes"].select("node").collect()]
+    rng = np.random.default_rng(2)
+    rows = [("a", k, int(n), float(rng.normal()) if rng.random() < 0.8 else None) for k in ("x", None) for n in nodes if rng.random() < 0.3]
+    field = spark.createDataFrame(rows + rows[:9] + [("a", "x", -5, 1.0)], "specimen string, pair string, node long, u double")
+    field = materialise(field, "field")
+    e = slide["entries"]
+    plain = e.join(field.withColumnRenamed("node", "j"), ["specimen", "j"]).groupBy("specimen", "pair", F.col("i").alias("node")).agg(
+        F.sum(F.col("k") * F.col("u")).alias("ku"), F.sum(F.col("m") * F.col("u")).alias("mu"))
+    want = {(r.pair, r.node): (r.ku, r.mu) for r in plain.collect()}
+    monkeypatch.setattr(transport, "BLOCK", 100)
+    product = transport.apply(e, field, "u", ["pair"])
+    # every entry is shuffled once, beside the field: no row for each of an entry's products
+    assert "SortMergeJoin" not in product._jdf.queryExecution().executedPlan().toString() and "HashAggregate" not in product._jdf.queryExecution().executedPlan().toString()
+    got = {(r.pair, r.node): (r.ku, r.mu) for r in product.collect()}
+    assert got.keys() == want.keys()
+    for at, (ku, mu) in want.items():
+        assert (ku is None) == (got[at][0] is None)
+        assert ku is None or np.allclose(got[at], (ku, mu), rtol=1e-12, atol=1e-12)
