@@ -334,14 +334,19 @@ def _split_buckets(rows: DataFrame, stored: DataFrame) -> DataFrame:
     return spread.select((F.col("key") + F.shiftleft(F.col("part").cast("long"), 32)).alias("key"), "fp", kind.alias("kind"))
 
 
+def classes(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(*, root): distinct fingerprints with the one that names their component."""
+    roots = components(links(fps, distance), "a", "b").withColumnRenamed("node", "fp")
+    return fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def assign(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fingerprint, component_id) per row."""
     marks = materialise(fingerprints(docs, words), "fingerprints")
     distinct = materialise(marks.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "distinct")
-    roots = components(links(distinct, distance), "a", "b").withColumnRenamed("node", "fp")
-    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    classes = materialise(rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("members")), "classes")
-    named = materialise(attach(rooted, classes, "root", "members").select("fp", "component_id", "n"), "named")
+    rooted = classes(distinct, distance)
+    sizes = materialise(rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("members")), "classes")
+    named = materialise(attach(rooted, sizes, "root", "members").select("fp", "component_id", "n"), "named")
     out = attach(marks, named, "fp", "n")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -78,3 +78,21 @@ def test_group_links_join_what_all_pairs_join():
             assert got[a] != got[b]
             got = [got[a] if x == got[b] else x for x in got]
         assert len(set(zip(label, got))) == len(set(label)) == len(set(got))
+
+
+def test_fingerprints_propose(spark):
+    """Sets in one component of SimHash fingerprints meet without any MinHash key; the exact similarity decides."""
+    from pyspark.sql import functions as F
+
+    from spotfield.llm import simhash
+    from spotfield.runtime import materialise
+
+    words = [f"word{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words[:-1], "end"]), " ".join(words[::-1]), "", " ", "a b"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    marked = materialise(minhash.marks(docs), "marks")
+    assert {r.doc_id: r.fp & (2 ** 64 - 1) for r in marked.collect()} == {i: simhash.fingerprint(t.encode()) for i, t in enumerate(texts)}
+    sets = marked.groupBy("set").agg(F.min("text_hash").alias("text_hash"), F.expr("cast(array() as array<long>)").alias("keys"))
+    found = {frozenset((r.a, r.b)) for r in minhash.links(materialise(sets, "sets"), docs, minhash.proposed(marked)).collect()}
+    by = {r.doc_id: r.set for r in marked.collect()}
+    assert found == {frozenset((by[0], by[1]))}
