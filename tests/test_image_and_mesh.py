@@ -328,6 +328,30 @@ def test_smallest_eigenvalue_of_indefinite_matrices(spark):
         assert np.allclose(smallest_eigenvalues(rows, *rows.values, count=min(2, n)), np.linalg.eigvalsh(half @ k @ half)[:2], atol=1e-8)
 
 
+def test_eigenvalue_rounds_do_not_grow_with_the_lattice(monkeypatch):
+    """Residuals go through a factor, so a few products settle a lattice of any size, to more digits than are asked."""
+    from spotfield.kernels.solver import Rows, smallest_eigenvalues
+
+    calls = []
+    product = Rows.times
+    monkeypatch.setattr(Rows, "times", lambda self, values, x: calls.append(1) or product(self, values, x))
+    for side in (20, 80):
+        ids = np.arange(side * side).reshape(side, side)
+        pdf = pd.concat([pd.DataFrame({"i": np.concatenate([p, q, p, q]), "j": np.concatenate([p, q, q, p]), "k": np.repeat([1.0, -1.0], 2 * len(p))})
+                         for p, q in ((ids[:, 1:].ravel(), ids[:, :-1].ravel()), (ids[1:].ravel(), ids[:-1].ravel()))])
+        pdf = pdf.groupby(["i", "j"], as_index=False).sum()
+        rows = Rows(*[pdf[c].to_numpy() for c in "ijk"], (pdf["i"] == pdf["j"]).to_numpy(float))
+        calls.clear()
+        found = smallest_eigenvalues(rows, *rows.values, count=2)
+        assert np.allclose(found, [0.0, 2 - 2 * np.cos(np.pi / side)], rtol=1e-9, atol=1e-13) and len(calls) <= 40
+        # an indefinite stiffness is still found out
+        bent = rows.values[0].copy()
+        bent[np.flatnonzero(rows.on_diagonal)[len(rows.names) // 2]] -= 8.0
+        low = smallest_eigenvalues(rows, bent, rows.values[1])[0]
+        assert -8 < low < -1 and rows.factored(bent - (low + 1e-6) * rows.values[1]) is None
+        assert rows.factored(bent - (low - 1e-6) * rows.values[1]) is not None
+
+
 def test_eigenvalues_on_tables_of_indefinite_matrices(spark):
     """Dense matrices, each a component; all advance in the same rounds."""
     rng = np.random.default_rng(1)
