@@ -160,8 +160,14 @@ def triangles(mesh: Mesh) -> DataFrame:
     Diagonals alternate between neighbouring cells.  ``tri`` orders the first
     triangles of all cells before the second ones; a, b, c are (node, x, y).
     """
-    t = mesh.cells.join(mesh.frame, "specimen").select(
-        "specimen", "component", "i", "j", "nx", "ny", "x0", "y0", "h", F.explode(F.array(F.lit(0), F.lit(1))).alias("half"))
+    return halves(mesh.cells, mesh.frame)
+
+
+def halves(cells: DataFrame, frame: DataFrame) -> DataFrame:
+    """The :func:`triangles` of cells, or of their ``half`` if they name one, beside the other columns of these."""
+    others = [c for c in cells.columns if c not in ("specimen", "component", "i", "j", "half")]
+    half = F.col("half") if "half" in cells.columns else F.explode(F.array(F.lit(0), F.lit(1))).alias("half")
+    t = cells.join(frame, "specimen").select("specimen", "component", "i", "j", *others, "nx", "ny", "x0", "y0", "h", half)
     even = (F.col("i") + F.col("j")) % 2 == 0
     second = F.col("half") == 1
 
@@ -181,7 +187,7 @@ def triangles(mesh: Mesh) -> DataFrame:
 
     twice = (F.col("bx") - F.col("ax")) * (F.col("cy") - F.col("ay")) - (F.col("cx") - F.col("ax")) * (F.col("by") - F.col("ay"))
     return t.select(
-        "specimen", (F.col("half") * F.col("nx") * F.col("ny") + F.col("j") * F.col("nx") + F.col("i")).alias("tri"),
+        *others, "specimen", (F.col("half") * F.col("nx") * F.col("ny") + F.col("j") * F.col("nx") + F.col("i")).alias("tri"),
         "component", "i", "j", corner("a"), corner("b"), corner("c"),
         ((F.col("ax") + F.col("bx") + F.col("cx")) / F.lit(3.0)).alias("cx"),
         ((F.col("ay") + F.col("by") + F.col("cy")) / F.lit(3.0)).alias("cy"), (F.lit(0.5) * F.abs(twice)).alias("area"))
