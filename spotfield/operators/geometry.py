@@ -105,8 +105,8 @@ def morphology_mismatch(field: DataFrame, extent: DataFrame, block_um: float = 6
 
 
 def tensor_at(points: DataFrame, field: DataFrame, extent: DataFrame, x: str = "x_um", y: str = "y_um",
-              beta_scale: float = 1.0) -> DataFrame:
-    """Add (a11, a12, a22) at each point's nearest pixel, clamped to the raster."""
+              beta_scale: float = 1.0, tasks: int | None = None) -> DataFrame:
+    """Add (a11, a12, a22) at each point's nearest pixel, clamped to the raster; in ``tasks`` parts if that is more than Spark's own number."""
 
     def index(v, n):
         near = F.rint(F.col(v) / F.col("pixel_size_um"))
@@ -116,7 +116,10 @@ def tensor_at(points: DataFrame, field: DataFrame, extent: DataFrame, x: str = "
         "specimen", F.col("row").cast("long").alias("_row"), F.col("col").cast("long").alias("_col"), "theta",
         F.when(F.col("in_tissue"), F.col("beta") * F.lit(float(beta_scale))).otherwise(F.lit(0.0)).alias("beta"))
     at = points.join(extent, "specimen").withColumns({"_row": index(y, "n_rows"), "_col": index(x, "n_cols")})
-    out = at.join(pixel, ["specimen", "_row", "_col"]).withColumn("_t", tensor("theta", "beta"))
+    where = ["specimen", "_row", "_col"]
+    if tasks is not None and tasks > int(field.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        at, pixel = at.repartition(tasks, *where), pixel.repartition(tasks, *where)
+    out = at.join(pixel, where).withColumn("_t", tensor("theta", "beta"))
     return out.select(*points.columns, "_t.a11", "_t.a12", "_t.a22")
 
 

@@ -18,9 +18,10 @@ from ..kernels.solver import smallest_eigenvalues as lowest
 from ..runtime import materialise, ship_package
 from . import multigrid
 from .geometry import tensor_at
-from .mesh import Mesh, triangles
+from .mesh import Mesh, halves
 
 BLOCK = 1 << 14  # node numbers of a block of matrix rows
+CELLS_PER_TASK = 100_000
 
 
 class OperatorError(RuntimeError):
@@ -33,7 +34,11 @@ def assemble(mesh: Mesh, field: DataFrame, extent: DataFrame, beta_scale: float
     The tensor is read at each triangle's centroid.  Only the upper half is
     shuffled and summed; mirroring it afterwards makes symmetry exact.
     """
-    t = tensor_at(triangles(mesh), field, extent, "cx", "cy", beta_scale)
+    # Only the names of triangles meet the raster, in parts of bounded size; the rest is made from them afterwards.
+    both = mesh.cells.withColumn("half", F.explode(F.array(F.lit(0), F.lit(1))))
+    named = halves(both.withColumn("of", F.col("half")), mesh.frame).select("specimen", "component", "i", "j", F.col("of").alias("half"), "cx", "cy")
+    tasks = 1 + mesh.cells.count() // CELLS_PER_TASK
+    t = halves(tensor_at(named, field, extent, "cx", "cy", beta_scale, tasks).drop("cx", "cy"), mesh.frame)
     p = [F.col("a"), F.col("b"), F.col("c")]
     twice = (p[1]["x"] - p[0]["x"]) * (p[2]["y"] - p[0]["y"]) - (p[2]["x"] - p[0]["x"]) * (p[1]["y"] - p[0]["y"])
     safe = F.when(F.abs(twice) < F.lit(1e-15), F.lit(1e-15)).otherwise(twice)
