@@ -12,6 +12,8 @@ from ..functions.scalar import tensor
 from ..kernels.image import gradients, orientation
 from .tiles import TILE, blur_reach, over_tiles
 
+PIXEL_BLOCK = 64
+
 
 def orientation_field(tissue: DataFrame, extent: DataFrame, tile: int = TILE) -> DataFrame:
     """(specimen, row, col, theta, coherency, crossing, beta, in_tissue).
@@ -106,7 +108,11 @@ def morphology_mismatch(field: DataFrame, extent: DataFrame, block_um: float = 6
 
 def tensor_at(points: DataFrame, field: DataFrame, extent: DataFrame, x: str = "x_um", y: str = "y_um",
               beta_scale: float = 1.0, tasks: int | None = None) -> DataFrame:
-    """Add (a11, a12, a22) at each point's nearest pixel, clamped to the raster; in ``tasks`` parts if that is more than Spark's own number."""
+    """Add (a11, a12, a22) at each point's nearest pixel, clamped to the raster.
+
+    With ``tasks``, points meet the raster in blocks of pixels, so that neighbours
+    stay in one task, of which there are that many if Spark's own number is less.
+    """
 
     def index(v, n):
         near = F.rint(F.col(v) / F.col("pixel_size_um"))
@@ -116,13 +122,33 @@ def tensor_at(points: DataFrame, field: DataFrame, extent: DataFrame, x: str = "
         "specimen", F.col("row").cast("long").alias("_row"), F.col("col").cast("long").alias("_col"), "theta",
         F.when(F.col("in_tissue"), F.col("beta") * F.lit(float(beta_scale))).otherwise(F.lit(0.0)).alias("beta"))
     at = points.join(extent, "specimen").withColumns({"_row": index(y, "n_rows"), "_col": index(x, "n_cols")})
-    where = ["specimen", "_row", "_col"]
-    if tasks is not None and tasks > int(field.sparkSession.conf.get("spark.sql.shuffle.partitions")):
-        at, pixel = at.repartition(tasks, *where), pixel.repartition(tasks, *where)
-    out = at.join(pixel, where).withColumn("_t", tensor("theta", "beta"))
+    if tasks is None:
+        out = at.join(pixel, ["specimen", "_row", "_col"])
+    else:
+        out = _met_in_blocks(at.select(*points.columns, "_row", "_col"), pixel, tasks)
+    out = out.withColumn("_t", tensor("theta", "beta"))
     return out.select(*points.columns, "_t.a11", "_t.a12", "_t.a22")
 
 
+def _met_in_blocks(at: DataFrame, pixel: DataFrame, tasks: int) -> DataFrame:
+    """Inner join of points and pixels on (specimen, _row, _col), block by block."""
+    block = ["specimen", "_block_row", "_block_col"]
+    parts = max(tasks, int(at.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def dealt(df):
+        return df.withColumns({b: F.floor(F.col(c) / F.lit(PIXEL_BLOCK)) for b, c in zip(block[1:], ("_row", "_col"))}).where(
+            F.col("specimen").isNotNull() & F.col("_row").isNotNull() & F.col("_col").isNotNull()).repartition(parts, *block).groupBy(*block)
+
+    mine, names = at.columns, [*at.columns, "theta", "beta"]
+
+    def run(key, left, right):
+        seen = right.select(["_row", "_col", "theta", "beta"])
+        return left.select(mine).join(seen, ["_row", "_col"], join_type="inner", use_threads=False).select(names)
+
+    kinds = {**dict(pixel.dtypes), **dict(at.dtypes)}
+    return dealt(at).cogroup(dealt(pixel)).applyInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names))
+
+
 def anisotropic_fraction(field: DataFrame) -> DataFrame:
     """Share of tissue pixels with any anisotropy; 0 without tissue."""
     share = F.avg(F.when(F.col("in_tissue"), (F.col("beta") > 0).cast("double")))
