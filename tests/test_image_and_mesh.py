@@ -475,3 +475,40 @@ def test_products_meet_in_blocks(slide, spark, monkeypatch):
     for at, (ku, mu) in want.items():
         assert (ku is None) == (got[at][0] is None)
         assert ku is None or np.allclose(got[at], (ku, mu), rtol=1e-12, atol=1e-12)
+
+
+def test_points_meet_the_raster_in_blocks_as_they_do_by_pixels(spark, monkeypatch):
+    """Points beyond the raster are clamped, missing pixels drop theirs, copies stay; blocks of any size agree."""
+    rng = np.random.default_rng(3)
+    field = pd.DataFrame([(s, r, c, rng.random(), rng.random(), bool(rng.random() < 0.8)) for s in "ab" for r in range(13) for c in range(9) if (r, c) != (4, 4)],
+                         columns=["specimen", "row", "col", "theta", "beta", "in_tissue"])
+    extent = spark.createDataFrame([("a", 13, 9, 2.0), ("b", 13, 9, 2.0)], "specimen string, n_rows long, n_cols long, pixel_size_um double")
+    points = pd.DataFrame({"specimen": rng.choice(["a", "b", "c"], 200), "obs_id": np.arange(200) // 2, "x_um": rng.random(200) * 24 - 3, "y_um": rng.random(200) * 32 - 3})
+    field, points = spark.createDataFrame(field), spark.createDataFrame(points)
+    order = ["specimen", "obs_id", "x_um"]
+    want = geometry.tensor_at(points, field, extent, beta_scale=1.5).toPandas().sort_values(order, ignore_index=True)
+    for side, tasks in ((64, 1), (4, 9)):
+        monkeypatch.setattr(geometry, "PIXEL_BLOCK", side)
+        got = geometry.tensor_at(points, field, extent, beta_scale=1.5, tasks=tasks).toPandas().sort_values(order, ignore_index=True)
+        pd.testing.assert_frame_equal(got, want)
+
+
+def test_points_meet_cells_and_footprints_read_nodes_once(spark, slide, monkeypatch):
+    """Triangles are made of the cells that hold a point only; a footprint joins the nodes once."""
+    met = []
+    made = projection.halves
+    monkeypatch.setattr(projection, "halves", lambda cells, frame: met.append(cells) or made(cells, frame))
+    first = mesh.nodes(slide["mesh"]).orderBy("specimen", "node").limit(3)
+    points = materialise(first.select("specimen", F.col("node").alias("obs_id"), (F.col("x") + 0.3).alias("x_um"), (F.col("y") + 0.2).alias("y_um")), "few")
+    located = materialise(projection.locate(points, slide["mesh"]), "located-few")
+    assert 0 < met[0].count() <= 12
+    nodes = materialise(mesh.nodes(slide["mesh"]), "nodes-read-once")
+    weights = projection.footprint_weights(located.where(projection.is_inside()), nodes, slide["mesh"].frame, 9.0)
+    plan = weights._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("area#") and plan.count("Join") <= 2
+    total = weights.groupBy("obs_id").agg(F.sum("w").alias("w")).toPandas()
+    assert len(total) and np.allclose(total["w"], 1.0)
+    # an empty footprint takes the weights of its triangle
+    bare = projection.footprint_weights(located.where(projection.is_inside()), nodes, slide["mesh"].frame, 1e-3).toPandas().sort_values(["obs_id", "node"])
+    want = projection.point_weights(located.where(projection.is_inside())).toPandas().sort_values(["obs_id", "node"])
+    assert np.array_equal(bare["node"], want["node"]) and np.array_equal(bare["w"], want["w"])
