@@ -455,6 +455,41 @@ def test_components_of_one_tile_take_no_tables_of_tiles(slide, spark, monkeypatc
     assert all(np.isclose(h, want[at], rtol=1e-8, atol=1e-9) for at, h in whole.items())
 
 
+@pytest.mark.parametrize("shape", [(14, 9), (9, 14), (7, 1)])
+def test_elimination_solves_what_rounds_solve(shape, monkeypatch):
+    """Components of one tile with short lines take no rounds; what elimination cannot do is left to them."""
+    from spotfield.kernels import lattice
+
+    rng, halo = np.random.default_rng(2), lattice.HALO
+    mask = np.pad(rng.random(shape) < 0.85, halo + 1)
+    k, m = np.zeros((2, 9, *mask.shape))
+    for step in ((0, 1), (1, 0), (1, 1)):
+        there, back = lattice.OFFSETS.index(step), lattice.OFFSETS.index((-step[0], -step[1]))
+        w = rng.uniform(0.5, 2.0, mask.shape) * (mask & np.roll(mask, (-step[0], -step[1]), (0, 1)))
+        other = np.roll(w, step, (0, 1))
+        for a, sign in ((k, -1.0), (m, 0.1)):
+            a[there] += sign * w
+            a[back] += sign * other
+            a[4] += w + other
+    m[4] += mask
+    b = rng.normal(size=(3, *mask.shape)) * mask
+    shifts = [(1.0, 1.0 / e ** 2) for e in (1.0, 4.0, 30.0)] + [(0.0, 1.0)]
+    place, name = np.argwhere(mask), -np.ones(mask.shape, int)
+    name[mask] = np.arange(len(place))
+    for numbers in (lattice.NUMBERS, 1):
+        monkeypatch.setattr(lattice, "NUMBERS", numbers)
+        for (kappa, sigma), x in zip(shifts, lattice.direct(k, m, b, shifts, 1e-12), strict=True):
+            dense = np.zeros((len(place), len(place)))
+            for o, (dj, di) in enumerate(lattice.OFFSETS):
+                to = name[place[:, 0] + dj, place[:, 1] + di]
+                dense[np.flatnonzero(to >= 0), to[to >= 0]] = (kappa * k + sigma * m)[o][mask][to >= 0]
+            assert np.allclose(x[:, mask], np.linalg.solve(dense, b[:, mask].T).T, rtol=1e-9, atol=1e-12) and not x[:, ~mask].any()
+    assert list(lattice.direct(k, m, np.where(mask, b, 1.0), shifts, 1e-12)) == [None] * 4
+    assert list(lattice.direct(k, m, b * np.nan, shifts, 1e-12)) == [None] * 4
+    monkeypatch.setattr(lattice, "LINE", 0)
+    assert list(lattice.direct(k, m, b, shifts, 1e-12)) == [None] * 4
+
+
 def test_products_meet_in_blocks(slide, spark, monkeypatch):
     """Products of matrices with fields equal the plain join, across blocks, with nulls, null keys and repeated rows."""
     nodes = [r.node for r in slide["nodes"].select("node").collect()]
