@@ -57,6 +57,33 @@ def test_stage_keeps_what_brute_force_keeps(spark, rows, block):
     assert kept - {None} == want and 900 in want and len(want & set(range(900, 924))) < 24
 
 
+def test_what_no_fingerprint_or_key_proposes_is_found(spark, rows, monkeypatch):
+    """Pairs of 0.8 or more that share no MinHash key and no SimHash component are links as well."""
+    monkeypatch.setattr(minhash, "keys", lambda grams: [])
+    monkeypatch.setattr(minhash, "proposed", lambda marked: marked.where("false").selectExpr("set", "set AS key"))
+    text, rng = [f"word{i}" for i in range(300)], np.random.default_rng(4)
+    near = [(900 + k, " ".join(f"other{k}" if i in rng.choice(300, 1 + k % 6, replace=False) else w for i, w in enumerate(text)), "en", "s", 1) for k in range(12)]
+    # of nine shingles each two texts share eight: 0.8 exactly
+    near += [(950, " ".join(text[:13]), "en", "s", 1), (951, " ".join([*text[:12], "end"]), "en", "s", 1)]
+    everything = rows + near
+    docs = spark.createDataFrame(everything, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = {r.doc_id for r in minhash.survivors(docs).collect()}
+    want = expected([r[:2] for r in everything])
+    assert kept - {None} == want and 950 in want and 951 not in want and len(want & set(range(900, 912))) < 12
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(5)
+    for n in range(1, 60):
+        a = np.unique(rng.integers(0, 1 << 40, n).astype(np.uint64))
+        common = rng.integers(0, 3, minhash.CELLS)
+        for gone in range(n // 5 + 1):
+            b = np.sort(rng.permutation(a)[gone:])
+            if len(b) >= 0.8 * len(a):
+                assert np.intersect1d(minhash.prefix(a, common), minhash.prefix(b, common)).size
+    assert not minhash.prefix(np.empty(0, np.uint64), common).size
+
+
 def test_recall_on_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF).collect()}
